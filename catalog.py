@@ -11,6 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazarlytics.analyses import (
+    delivery,
+    everyday,
+    executive,
+    geography,
+    product,
+    retention,
+    revenue,
+    rfm,
+    risk,
+    satisfaction,
+    seller,
+    timing,
+)
 from bazarlytics.plans.warehouse import MODELS, Warehouse, retail_warehouse
 from bazarlytics.session import tune
 
@@ -48,15 +62,178 @@ def _bind(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: comparable(query(warehouse(spark, folder)))
 
 
-def plain_queries() -> dict[str, Query]:
+# a period that holds every order of the test tables
+START, END = "1995-01-01", "2001-12-31"
+
+
+def _orders(analysis: Callable[..., DataFrame], **options) -> Query:
+    return lambda w: analysis(w["fct_orders"], start=START, end=END, **options)
+
+
+def _mart(name: str, analysis: Callable[..., DataFrame], **options) -> Query:
+    return lambda w: analysis(w[f"mart_{name}"], **options)
+
+
+def _customers(analysis: Callable[..., DataFrame], **options) -> Query:
+    return _mart("customer_analytics", analysis, **options)
+
+
+def _products(analysis: Callable[..., DataFrame], **options) -> Query:
+    return _mart("product_performance", analysis, **options)
+
+
+def _sellers(analysis: Callable[..., DataFrame], **options) -> Query:
+    return _mart("seller_scorecard", analysis, **options)
+
+
+def model_queries() -> dict[str, Query]:
     return {name: (lambda w, name=name: w.plan(name)) for name in MODELS}
 
 
+ANALYSES: dict[str, Query] = {
+    "q01_executive_kpis": _orders(executive.executive_kpis),
+    "q02_revenue_trend": _orders(executive.revenue_trend),
+    "q03_customer_acquisition": _orders(executive.customer_acquisition),
+    "q04_order_volume": _orders(executive.order_volume),
+    "q05_order_value_distribution": _orders(executive.order_value_distribution),
+    "q06_delivery_performance": _orders(executive.delivery_performance),
+    "q06_delivery_performance_long": _orders(executive.delivery_performance_long),
+    "q07_satisfaction_trend": _orders(executive.satisfaction_trend),
+    "q08_review_distribution": _orders(executive.review_distribution),
+    "q09_payment_mix": _orders(revenue.payment_mix),
+    "q10_installments": _orders(revenue.installments),
+    "q11_order_value_tiers": _orders(revenue.order_value_tiers),
+    "q12_freight_burden": _orders(revenue.freight_burden),
+    "q13_seasonality": _orders(revenue.seasonality),
+    "q14_lifetime_value": _orders(revenue.lifetime_value),
+    "q15_delivery_speed_revenue": _orders(revenue.delivery_speed_revenue),
+    "q16_retention_kpis": _orders(retention.retention_kpis),
+    "q17_order_count_segments": _orders(retention.order_count_segments),
+    "q18_days_to_second_purchase": _orders(retention.days_to_second_purchase),
+    "q18_second_purchase_summary": _orders(retention.second_purchase_summary),
+    "q18_second_purchase_bins": _orders(retention.second_purchase_bins),
+    "q19_cohort_activity": _orders(retention.cohort_activity),
+    "q19_cohort_retention": _orders(retention.cohort_retention),
+    "q19_cohort_matrix": _orders(retention.cohort_matrix, months=13),
+    "q19_retention_curve": _orders(retention.retention_curve),
+    "q20_monthly_churn": _orders(retention.monthly_churn),
+    "q21_review_writers": _orders(retention.review_writers),
+    "q22_segment_list": _customers(rfm.segment_list),
+    "q23_customer_kpis": _customers(rfm.customer_kpis),
+    "q23_customer_kpis_filtered": _customers(
+        rfm.customer_kpis, segment="At Risk", lifecycle="Dormant"
+    ),
+    "q24_segment_summary": _customers(rfm.segment_summary),
+    "q25_score_counts": _customers(rfm.score_counts),
+    "q26_scores_by_segment": _customers(rfm.scores_by_segment),
+    "q27_lifecycle_summary": _customers(rfm.lifecycle_summary),
+    "q28_value_tier_summary": _customers(rfm.value_tier_summary),
+    "q29_segment_characteristics": _customers(rfm.segment_characteristics),
+    "q30_reactivation_targets": _customers(rfm.reactivation_targets),
+    "q31_segment_by_region": _customers(rfm.segment_by_region),
+    "q32_behavior_patterns": _customers(rfm.behavior_patterns),
+    "q33_satisfaction_kpis": _orders(satisfaction.satisfaction_kpis),
+    "q33_rating_distribution": _orders(satisfaction.rating_distribution),
+    "q34_nps_trend": _orders(satisfaction.nps_trend),
+    "q35_rating_by_performance": _orders(satisfaction.rating_by_performance),
+    "q36_rating_by_delivery_time": _orders(satisfaction.rating_by_delivery_time),
+    "q37_state_satisfaction": _orders(satisfaction.state_satisfaction),
+    "q37_state_satisfaction_extremes": _orders(satisfaction.state_satisfaction_extremes),
+    "q38_satisfaction_factors": _orders(satisfaction.satisfaction_factors),
+    "q38_factors_by_order_value": _orders(satisfaction.factors_by, factor="order_value_segment"),
+    "q38_factors_by_payment": _orders(satisfaction.factors_by, factor="primary_payment_method"),
+    "q38_factors_by_freight": _orders(satisfaction.factors_by, factor="freight_segment"),
+    "q39_delivery_kpis": _orders(delivery.delivery_kpis),
+    "q40_delivery_trend": _orders(delivery.delivery_trend),
+    "q40_delivery_trend_long": _orders(delivery.delivery_trend_long),
+    "q41_state_delivery": _orders(delivery.state_delivery),
+    "q41_state_delivery_extremes": _orders(delivery.state_delivery_extremes),
+    "q41_latest_states": _orders(delivery.latest_states),
+    "q42_satisfaction_by_delivery_time": _orders(delivery.satisfaction_by_delivery_time),
+    "q43_satisfaction_by_performance": _orders(delivery.satisfaction_by_performance),
+    "q44_freight_and_delivery": _orders(delivery.freight_and_delivery),
+    "q45_fulfillment_cycle": _orders(delivery.fulfillment_cycle),
+    "q45_fulfillment_cycle_long": _orders(delivery.fulfillment_cycle_long),
+    "q46_state_revenue": _orders(geography.state_revenue),
+    "q46_top_states_by_revenue": _orders(geography.top_states),
+    "q46_top_states_by_unit_economics": _orders(geography.top_states, by="revenue_per_customer"),
+    "q47_top_cities": _orders(geography.top_cities),
+    "q48_state_growth": _orders(geography.state_growth),
+    "q48_fastest_growing_states": _orders(geography.fastest_growing_states),
+    "q49_by_day_of_week": _orders(timing.by_day_of_week),
+    "q50_by_month_of_year": _orders(timing.by_month_of_year),
+    "q51_by_quarter": _orders(timing.by_quarter),
+    "q52_by_hour": _orders(timing.by_hour),
+    "q52_peaks": _orders(timing.peaks),
+    "q53_reactivation_segments": lambda w: timing.reactivation_segments(
+        w["dim_customers"], START, END
+    ),
+    "q54_dormant_value": lambda w: timing.dormant_value(
+        w["dim_customers"], w["fct_orders"], START, END
+    ),
+    "q55_cancellation_kpis": _orders(risk.cancellation_kpis),
+    "q56_cancellation_trend": _orders(risk.cancellation_trend),
+    "q57_cancellation_by_value": _orders(risk.cancellation_by_value),
+    "q58_cancellation_by_state": _orders(risk.cancellation_by_state),
+    "q58_riskiest_states": _orders(risk.riskiest_states),
+    "q59_cancellation_by_payment": _orders(risk.cancellation_by_payment),
+    "q60_installment_distribution": _orders(risk.installment_distribution),
+    "q60_installment_distribution_to_12": _orders(
+        risk.installment_distribution, max_installments=12
+    ),
+    "q60_installment_groups": _orders(risk.installment_groups),
+    "q61_payment_failure": _orders(risk.payment_failure),
+    "q62_payment_failure_by_state": _orders(risk.payment_failure_by_state),
+    "q63_category_list": _products(product.category_list),
+    "q64_product_kpis": _products(product.product_kpis),
+    "q64_product_kpis_filtered": _products(product.product_kpis, category="toys", min_sales=20),
+    "q65_top_products": _products(product.top_products),
+    "q66_top_categories": _products(product.top_categories),
+    "q67_price_and_review": _products(product.price_and_review),
+    "q68_sales_tiers": _products(product.sales_tiers),
+    "q69_review_tiers": _products(product.review_tiers),
+    "q70_delivery_by_category": _products(product.delivery_by_category),
+    "q71_geographic_reach": _products(product.geographic_reach),
+    "q72_seller_health_list": _sellers(seller.value_list, column="seller_health"),
+    "q73_activity_status_list": _sellers(seller.value_list, column="activity_status"),
+    "q74_region_list": _sellers(seller.value_list, column="region"),
+    "q75_marketplace_kpis": _sellers(seller.marketplace_kpis),
+    "q75_marketplace_kpis_filtered": _sellers(
+        seller.marketplace_kpis, region="Northeast", health="Needs Improvement", min_orders=10
+    ),
+    "q76_top_sellers": _sellers(seller.top_sellers),
+    "q77_health_distribution": _sellers(seller.health_distribution),
+    "q78_activity_distribution": _sellers(seller.activity_distribution),
+    "q79_revenue_by_tier": _sellers(seller.revenue_by_tier),
+    "q80_top_by_percentile": _sellers(seller.top_by_percentile),
+    "q80_percentile_histogram": _sellers(seller.percentile_histogram),
+    "q81_specialization": _sellers(seller.specialization),
+    "q82_region_summary": _sellers(seller.region_summary),
+    "q83_geographic_focus": _sellers(seller.geographic_focus),
+    "q84_delivery_and_review": _sellers(seller.delivery_and_review),
+    "everyday_revenue_by_month": lambda w: everyday.revenue_by_month(
+        w["stg_orders"], w["stg_order_items"]
+    ),
+    "everyday_top_categories": lambda w: everyday.top_sold_categories(
+        w["int_order_items_enriched"]
+    ),
+    "everyday_score_distribution": lambda w: everyday.score_distribution(w["stg_reviews"]),
+    "everyday_daily_revenue": lambda w: everyday.daily_revenue(
+        w["fct_order_items"], w["dim_date"]
+    ),
+}
+
+
+def plain_queries() -> dict[str, Query]:
+    return {**model_queries(), **ANALYSES}
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _bind(query) for name, query in plain_queries().items()}
 
 
 def oracle_statements() -> dict[str, str]:
+    from oracle import analyses
     from oracle.warehouse import model
 
-    return {name: model(name) for name in MODELS}
+    return {**{name: model(name) for name in MODELS}, **analyses.STATEMENTS}
