@@ -43,13 +43,19 @@ class Warehouse:
         self.dedup_reviews = dedup_reviews
         self.seconds: dict[str, float] = {}
         self._stored: dict[str, DataFrame] = {}
+        self._sources: dict[str, DataFrame] = {}
 
     def plan(self, name: str) -> DataFrame:
         """A model as a lazy frame over its stored inputs."""
         return MODELS[name](self)
 
     def __getitem__(self, name: str) -> DataFrame:
-        """A model as a table, stored on first use; intermediate models stay lazy."""
+        """A model as a table, stored on first use.
+
+        Intermediate models stay lazy, and ``raw_<source>`` is a source as it is read.
+        """
+        if name.startswith("raw_"):
+            return self._raw(name.removeprefix("raw_"))
         if name.startswith("int_"):
             return self.plan(name)
         if name not in self._stored:
@@ -61,6 +67,17 @@ class Warehouse:
             self.seconds[name] = time.monotonic() - began
         return self._stored[name]
 
+    def stored(self, name: str, plan: Callable[[Warehouse], DataFrame]) -> DataFrame:
+        """Any frame over the warehouse as a table, stored on first use."""
+        if name not in self._stored:
+            self._stored[name] = write_table(plan(self), f"{self.path}/{name}")
+        return self._stored[name]
+
+    def _raw(self, source: str) -> DataFrame:
+        if source not in self._sources:
+            self._sources[source] = self.raw[source]()
+        return self._sources[source]
+
     def build(self) -> dict[str, float]:
         """Store every model and return the seconds each took."""
         for name in MODELS:
@@ -84,7 +101,7 @@ class Warehouse:
 
 def _staging(name: str) -> Callable[[Warehouse], DataFrame]:
     model, source = stg.MODELS[name]
-    return lambda w: model(w.raw[source]())
+    return lambda w: model(w[f"raw_{source}"])
 
 
 def _context(w: Warehouse) -> DataFrame:

@@ -278,3 +278,62 @@ TABLES = {
     "geolocation": geolocation,
     "category_translation": category_translation,
 }
+
+
+# --- run history derived from the event stream ----------------------------------------
+# fixed values: model names an event may stand for
+EVENT_MODELS = [
+    "stg_orders", "stg_reviews", "int_orders_enriched", "dim_customers", "dim_date",
+    "fct_orders", "fct_payments", "mart_executive_dashboard", "seed_rates",
+]
+
+
+def model_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as one model execution in its user's run of that day."""
+    event = F.col("event_id")
+    name = F.element_at(
+        F.array(*[F.lit(m) for m in EVENT_MODELS]),
+        (event % len(EVENT_MODELS)).cast("int") + 1,
+    )
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("model", name)
+    return events.select(
+        F.concat(F.lit("run_"), "user_id", F.date_format("ts", "_yyyyMMdd")).alias("invocation_id"),
+        F.col("model").alias("model_name"),
+        F.lit("core").alias("schema_name"),
+        case(
+            [
+                (F.col("model").startswith("stg_"), "view"),
+                (F.col("model").startswith("int_"), "ephemeral"),
+            ],
+            "table",
+        ).alias("materialization"),
+        F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"),
+        F.col("value").alias("execution_time_seconds"),
+        (event % 1000).cast("int").alias("rows_affected"),
+        F.col("ts").alias("executed_at"),
+        F.concat(F.lit("model.shop."), "model", F.lit("."), event).alias("unique_id"),
+    )
+
+
+def run_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of ``model_history``, their command derived from the user."""
+    runs = (
+        model_history(spark, folder)
+        .groupBy("invocation_id")
+        .agg(
+            F.min("executed_at").alias("run_started_at"),
+            F.max("executed_at").alias("run_completed_at"),
+            F.bool_and(F.col("status") == "success").alias("success"),
+            F.count("*").cast("int").alias("total_models"),
+            F.sum(F.when(F.col("rows_affected") < 100, 1).otherwise(0)).cast("int").alias("total_tests"),
+            F.sum("execution_time_seconds").alias("total_runtime_seconds"),
+        )
+    )
+    user = F.split("invocation_id", "_")[1].cast("long")
+    return runs.withColumns(
+        {
+            "dbt_command": lookup(user % 3, {0: "build", 1: "run"}, "test"),
+            "dbt_version": F.lit("1.0"),
+            "target_name": F.lit("prod"),
+        }
+    )

@@ -7,6 +7,7 @@ session's shared folder; the models themselves are computed afresh when they are
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,11 @@ from bazarlytics.analyses import (
     seller,
     timing,
 )
+from bazarlytics.history import runs
 from bazarlytics.plans.warehouse import MODELS, Warehouse, retail_warehouse
+from bazarlytics.quality import business, checks, profile, suite
 from bazarlytics.session import tune
+from bazarlytics.sources import retail
 
 Query = Callable[[Warehouse], DataFrame]
 
@@ -224,16 +228,155 @@ ANALYSES: dict[str, Query] = {
 }
 
 
+AS_OF = "2001-12-31"
+CORE_TABLES = [
+    "fct_orders", "fct_order_items", "fct_payments", "fct_reviews", "dim_customers",
+    "dim_products", "dim_sellers", "dim_category", "dim_geography", "dim_date",
+]
+RUN_DAY = "2024-01-31"
+
+
+def _suite(w: Warehouse) -> DataFrame:
+    """Every declared and business check except the one on column order."""
+    chosen = [c for c in suite.all_checks(AS_OF) if not c.name.startswith("column_order")]
+    return checks.run_checks(chosen, w)
+
+
+def _suite_results(w: Warehouse) -> DataFrame:
+    """The suite's result table, stored once and read by the summaries."""
+    return w.stored("check_results", _suite)
+
+
+def _failing(check: checks.Check, *columns: str) -> Query:
+    return lambda w: check.failing(w).select(*columns) if columns else check.failing(w)
+
+
+CHECKS: dict[str, Query] = {
+    "check_not_null": _failing(
+        checks.not_null("stg_products", "product_category_name"), "product_id"
+    ),
+    "check_unique": _failing(checks.unique("fct_orders", "order_id")),
+    "check_relationships": _failing(
+        checks.relationships(
+            "stg_products", "product_category_name", "stg_category_translation",
+            "product_category_name",
+        ),
+        "product_id", "product_category_name",
+    ),
+    "check_accepted_values": _failing(
+        checks.accepted_values("stg_orders", "order_status", ["delivered", "shipped"]),
+        "order_id", "order_status",
+    ),
+    "check_accepted_range": _failing(
+        checks.accepted_range("fct_reviews", "days_delivery_to_review", -30, 20),
+        "review_id", "days_delivery_to_review",
+    ),
+    "check_row_count": _failing(checks.row_count_between("dim_category", 50, 200)),
+    "check_values_between": _failing(
+        checks.values_between(
+            "stg_order_items", "price", 0, 440, strictly=True, where="freight_value is not null"
+        ),
+        "order_id", "order_item_id", "price",
+    ),
+    "check_at_least_one": _failing(checks.at_least_one("raw_customers", "customer_id")),
+    "check_expression": _failing(
+        checks.expression_is_true(
+            "fct_payments", "dear_in_one_part", "payment_installments = 1 or payment_value < 700"
+        ),
+        "order_id", "payment_sequential",
+    ),
+    "check_compound_unique": _failing(checks.unique("stg_payments", "order_id", "payment_type")),
+    "check_pair_ordered": _failing(
+        checks.pair_ordered("fct_reviews", "review_date_key", "order_date_key"),
+        "review_id", "review_date_key", "order_date_key",
+    ),
+    "check_values_in_set": _failing(
+        checks.values_in_set(
+            "stg_orders", "delivery_performance", ["early", "late"],
+            where="delivery_performance is not null",
+        ),
+        "order_id", "delivery_performance",
+    ),
+    "check_aggregate_equals": lambda w: business.executive_revenue(w, "mart_executive_dashboard"),
+    "check_recency": _failing(
+        checks.recency("raw_orders", "order_purchase_timestamp", 30, AS_OF)
+    ),
+    "check_invalid_states": lambda w: checks.invalid_states(w["dim_geography"], "state_name"),
+    "check_invalid_zips": lambda w: checks.invalid_zip_prefixes(
+        w["raw_customers"], "customer_zip_code_prefix"
+    ),
+    "check_invalid_dates": lambda w: checks.invalid_dates(
+        w["stg_orders"], "order_date", "1996-01-01", "2000-12-31"
+    ),
+    "check_invalid_percentages": lambda w: checks.invalid_percentages(
+        w["fct_order_items"], "freight_percentage"
+    ),
+    **{f"check_{c.name}": c.failing for c in business.business_checks()},
+    "check_freshness": lambda w: reduce(
+        DataFrame.unionByName,
+        [
+            checks.freshness(w[f"raw_{source}"], source, column, warn, error, AS_OF)
+            for source, column, warn, error in suite.FRESHNESS
+        ],
+    ),
+    "check_suite": _suite,
+    "check_status_summary": lambda w: profile.status_summary(_suite_results(w)),
+    "check_result_totals": lambda w: profile.result_totals(_suite_results(w)),
+    "check_failing": lambda w: profile.failing_checks(_suite_results(w)),
+    "profile_table_counts": lambda w: profile.table_counts(w, CORE_TABLES),
+    "profile_coverage": lambda w: profile.coverage(w["fct_orders"]),
+    "profile_status_mix": lambda w: profile.label_mix(w["fct_orders"], "order_status"),
+    "profile_segment_mix": lambda w: profile.label_mix(w["dim_customers"], "customer_segment"),
+    "profile_sentiment_mix": lambda w: profile.sentiment_mix(w["fct_orders"]),
+    "profile_busiest_states": lambda w: profile.busiest_states(w["fct_orders"]),
+}
+
+History = Callable[[DataFrame, DataFrame], DataFrame]
+
+# reports over (runs, models)
+HISTORY: dict[str, History] = {
+    "history_models": lambda r, m: m,
+    "history_runs": lambda r, m: r,
+    "history_status": lambda r, m: runs.history_status(r, m),
+    "history_latest_totals": lambda r, m: runs.latest_totals(r, RUN_DAY),
+    "history_runtime_trend": lambda r, m: runs.runtime_trend(r, RUN_DAY),
+    "history_slowest_models": lambda r, m: runs.slowest_models(m, RUN_DAY),
+    "history_time_by_layer": lambda r, m: runs.time_by_layer(m, RUN_DAY),
+    "history_recent_runs": lambda r, m: runs.recent_runs(r),
+    "history_recent_executions": lambda r, m: runs.recent_executions(m),
+    "history_slow_executions": lambda r, m: runs.slow_executions(m),
+    "history_model_over_time": lambda r, m: runs.model_over_time(m, "fct_orders", RUN_DAY),
+    "history_runs_by_command": lambda r, m: runs.runs_by_command(r),
+}
+
+
+def _bind_history(report: History) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        tune(spark)
+        return comparable(
+            report(retail.run_history(spark, folder), retail.model_history(spark, folder))
+        )
+
+    return run
+
+
 def plain_queries() -> dict[str, Query]:
-    return {**model_queries(), **ANALYSES}
+    return {**model_queries(), **ANALYSES, **CHECKS}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(query) for name, query in plain_queries().items()}
+    return {
+        **{name: _bind(query) for name, query in plain_queries().items()},
+        **{name: _bind_history(report) for name, report in HISTORY.items()},
+    }
 
 
 def oracle_statements() -> dict[str, str]:
-    from oracle import analyses
+    from oracle import analyses, quality
     from oracle.warehouse import model
 
-    return {**{name: model(name) for name in MODELS}, **analyses.STATEMENTS}
+    return {
+        **{name: model(name) for name in MODELS},
+        **analyses.STATEMENTS,
+        **quality.STATEMENTS,
+    }

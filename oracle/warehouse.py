@@ -196,7 +196,7 @@ FACTS = {
                product_weight_g, product_length_cm, product_height_cm, product_width_cm, product_volume_cm3,
                seller_zip_code_prefix, seller_city, seller_state, seller_state_clean, order_status, order_purchase_timestamp,
                {_OVER}, order_estimated_delivery_date, customer_zip_code_prefix, customer_city, customer_state,
-               {pct("freight_value", "price")} AS freight_percentage,
+               CASE WHEN price > 0 THEN CAST(freight_value AS DOUBLE) / CAST(price AS DOUBLE) * 100 END AS freight_percentage,
                {ladder("price", v.PRICE_TIER)} AS price_tier, {ladder("product_volume_cm3", v.VOLUME_TIER)} AS volume_tier,
                coalesce(customer_state = seller_state, false) AS is_same_state,
                coalesce(customer_city = seller_city, false) AS is_same_city, {_STATUS_FLAGS},
