@@ -548,7 +548,8 @@ def mart_seller_scorecard(sellers: DataFrame, geography: DataFrame, items: DataF
     )
     n, total = F.sum("price_n"), F.sum("price_sum").cast("double")
     squares = F.sum("price_squares").cast("double")
-    spread = F.sqrt(F.greatest((squares - total * total / n) / F.when(n > 1, n - 1), F.lit(0.0)))
+    variance = F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))
+    spread = F.when(n > 1, F.sqrt(variance))
     sales = _basket_totals(
         baskets,
         "seller_id",
