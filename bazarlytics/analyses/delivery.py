@@ -15,7 +15,7 @@ from bazarlytics.analyses.common import (
 )
 from bazarlytics.functions.columns import count_where, mean, position, tier
 from bazarlytics.functions.values import DELIVERY_DAYS, DELIVERY_PERFORMANCES, FREIGHT_RANGE
-from bazarlytics.operators.grouping import best_and_worst, top
+from bazarlytics.operators.grouping import best_and_worst, ordered, top
 from bazarlytics.operators.ordering import exact_median
 
 
@@ -56,7 +56,7 @@ def delivery_trend(orders: DataFrame, start: str | None = None, end: str | None
             *_rates(),
             average("review_score", "avg_satisfaction"),
         )
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -84,7 +84,7 @@ def state_delivery(
             average("total_freight", "avg_freight_cost"),
         )
         .filter(F.col("total_orders") >= min_orders)
-        .orderBy("avg_delivery_days", "customer_state")
+        .transform(ordered, "avg_delivery_days", "customer_state")
     )
 
 
@@ -127,7 +127,7 @@ def satisfaction_by_delivery_time(
             rate(promoters(), "positive_review_pct"),
             average("days_to_delivery", "avg_delivery_days"),
         )
-        .orderBy(position("delivery_time_bucket", DELIVERY_DAYS.labels))
+        .transform(ordered, position("delivery_time_bucket", DELIVERY_DAYS.labels))
     )
 
 
@@ -144,7 +144,7 @@ def satisfaction_by_performance(
             average("days_to_delivery", "avg_delivery_days"),
             average("days_vs_estimated"),
         )
-        .orderBy(position("delivery_performance", DELIVERY_PERFORMANCES))
+        .transform(ordered, position("delivery_performance", DELIVERY_PERFORMANCES))
     )
 
 
@@ -162,7 +162,7 @@ def freight_and_delivery(
             rate(performance("late"), "late_pct"),
             average("review_score", "avg_satisfaction"),
         )
-        .orderBy(position("freight_range", FREIGHT_RANGE.labels))
+        .transform(ordered, position("freight_range", FREIGHT_RANGE.labels))
     )
 
 
@@ -180,7 +180,7 @@ def fulfillment_cycle(
             mean(approval + F.col("days_to_delivery")).alias("total_cycle_time"),
             orders_count("order_count"),
         )
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 

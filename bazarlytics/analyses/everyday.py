@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazarlytics.operators.grouping import share_of_total, top
+from bazarlytics.operators.grouping import ordered, share_of_total, top
 
 
 def revenue_by_month(orders: DataFrame, items: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def revenue_by_month(orders: DataFrame, items: DataFrame) -> DataFrame:
         .join(per_order, "order_id")
         .groupBy(F.col("order_month").alias("month"))
         .agg(F.round(F.sum("value"), 2).alias("revenue"))
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -35,7 +35,7 @@ def top_sold_categories(items_enriched: DataFrame, n: int = 10) -> DataFrame:
 
 def score_distribution(reviews: DataFrame) -> DataFrame:
     counted = reviews.groupBy("review_score").agg(F.count("*").alias("count"))
-    return share_of_total(counted, percentage="count").orderBy(F.desc("review_score"))
+    return share_of_total(counted, percentage="count").transform(ordered, F.desc("review_score"))
 
 
 def daily_revenue(items: DataFrame, dates: DataFrame) -> DataFrame:
@@ -45,4 +45,4 @@ def daily_revenue(items: DataFrame, dates: DataFrame) -> DataFrame:
     )
     return daily.join(dates.select("date_key", "date_day"), "date_key").select(
         "date_day", "revenue"
-    ).orderBy("date_day")
+    ).transform(ordered, "date_day")

@@ -17,7 +17,7 @@ from bazarlytics.analyses.common import (
 )
 from bazarlytics.functions.columns import position, ratio, tier
 from bazarlytics.functions.values import ORDER_VALUE_5
-from bazarlytics.operators.grouping import share_of_total
+from bazarlytics.operators.grouping import ordered, share_of_total
 
 
 def executive_kpis(orders: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -100,7 +100,7 @@ def revenue_trend(orders: DataFrame, start: str | None = None, end: str | None =
     def growth(rows: int):
         return (F.try_divide(now, F.lag(now, rows).over(by_month)) - 1) * 100
 
-    return monthly.withColumns({"mom_growth": growth(1), "yoy_growth": growth(12)}).orderBy("month")
+    return monthly.withColumns({"mom_growth": growth(1), "yoy_growth": growth(12)}).transform(ordered, "month")
 
 
 def customer_acquisition(
@@ -116,7 +116,7 @@ def customer_acquisition(
     return (
         firsts.groupBy(F.trunc("first", "month").alias("month"))
         .agg(F.count("*").alias("new_customers"))
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -126,7 +126,7 @@ def order_volume(orders: DataFrame, start: str | None = None, end: str | None =
         .groupBy(F.col("order_month").alias("month"))
         .agg(orders_count(), F.countDistinct("customer_id").alias("unique_customers"))
         .withColumn("orders_per_customer", ratio("total_orders", "unique_customers"))
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -137,7 +137,7 @@ def order_value_distribution(
         delivered(orders, start, end)
         .groupBy(tier("total_order_value", ORDER_VALUE_5).alias("order_value_range"))
         .agg(orders_count("order_count"), revenue(), average("total_order_value", "avg_order_value"))
-        .orderBy(position("order_value_range", ORDER_VALUE_5.labels))
+        .transform(ordered, position("order_value_range", ORDER_VALUE_5.labels))
     )
 
 
@@ -154,7 +154,7 @@ def delivery_performance(
             rate(performance("on_time"), "ontime_pct"),
             rate(performance("late"), "late_pct"),
         )
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -182,7 +182,7 @@ def satisfaction_trend(
             rate(score == 3, "neutral_pct"),
             rate(detractors(), "negative_pct"),
         )
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -195,4 +195,4 @@ def review_distribution(
         .groupBy("review_score")
         .agg(F.count("*").alias("review_count"))
     )
-    return share_of_total(counted, percentage="review_count").orderBy("review_score")
+    return share_of_total(counted, percentage="review_count").transform(ordered, "review_score")

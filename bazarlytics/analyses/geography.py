@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazarlytics.analyses.common import average, delivered, orders_count, revenue
 from bazarlytics.functions.columns import mean, ratio
-from bazarlytics.operators.grouping import share_of_total, top
+from bazarlytics.operators.grouping import ordered, share_of_total, top
 
 
 def state_revenue(orders: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def state_revenue(orders: DataFrame, start: str | None = None, end: str | None =
         share_of_total(states, revenue_pct="total_revenue", orders_pct="total_orders")
         .withColumn("revenue_per_customer", ratio("total_revenue", "unique_customers"))
         .withColumn("orders_per_customer", ratio("total_orders", "unique_customers"))
-        .orderBy(F.desc("total_revenue"), "customer_state")
+        .transform(ordered, F.desc("total_revenue"), "customer_state")
     )
 
 
@@ -100,7 +100,7 @@ def state_growth(orders: DataFrame, start: str, end: str) -> DataFrame:
             growth("first_year_revenue", "second_year_revenue").alias("revenue_growth_pct"),
             growth("first_orders", "second_orders").alias("orders_growth_pct"),
         )
-        .orderBy(F.desc_nulls_last("revenue_growth_pct"), "customer_state")
+        .transform(ordered, F.desc_nulls_last("revenue_growth_pct"), "customer_state")
     )
 
 

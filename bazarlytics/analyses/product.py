@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bazarlytics.analyses.common import average, where
 from bazarlytics.functions.columns import position, ratio
 from bazarlytics.functions.values import MART_SALES_TIER
-from bazarlytics.operators.grouping import top
+from bazarlytics.operators.grouping import ordered, top
 
 CATEGORY = "product_category_name_english"
 
@@ -23,7 +23,7 @@ def _named(mart: DataFrame, category: str | None, min_sales: int) -> DataFrame:
 
 
 def category_list(mart: DataFrame) -> DataFrame:
-    return mart.filter(F.col(CATEGORY).isNotNull()).select(CATEGORY).distinct().orderBy(CATEGORY)
+    return mart.filter(F.col(CATEGORY).isNotNull()).select(CATEGORY).distinct().transform(ordered, CATEGORY)
 
 
 def product_kpis(mart: DataFrame, category: str | None = None, min_sales: int = 1) -> DataFrame:
@@ -96,7 +96,7 @@ def sales_tiers(mart: DataFrame, category: str | None = None, min_sales: int = 1
             F.sum("total_revenue").alias("tier_revenue"),
             average("avg_review_score", "avg_review"),
         )
-        .orderBy(position("sales_tier", MART_SALES_TIER.labels))
+        .transform(ordered, position("sales_tier", MART_SALES_TIER.labels))
     )
 
 
@@ -110,7 +110,7 @@ def review_tiers(mart: DataFrame, category: str | None = None, min_sales: int =
             average("total_units_sold", "avg_units_sold"),
             average("avg_review_score", "avg_score"),
         )
-        .orderBy(F.desc("avg_score"))
+        .transform(ordered, F.desc("avg_score"))
     )
 
 

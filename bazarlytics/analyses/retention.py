@@ -19,7 +19,7 @@ from bazarlytics.functions.columns import (
     tier,
 )
 from bazarlytics.functions.values import ORDER_COUNT_RETENTION, SECOND_PURCHASE_BINS
-from bazarlytics.operators.grouping import share_of_total
+from bazarlytics.operators.grouping import ordered, share_of_total
 
 
 def retention_kpis(
@@ -56,7 +56,7 @@ def order_count_segments(
         )
     )
     shares = share_of_total(segments, customer_pct="customer_count", revenue_pct="total_revenue")
-    return shares.orderBy(position("customer_segment", ORDER_COUNT_RETENTION.labels))
+    return shares.transform(ordered, position("customer_segment", ORDER_COUNT_RETENTION.labels))
 
 
 def days_to_second_purchase(
@@ -120,7 +120,7 @@ def second_purchase_bins(
         .groupBy(bins.alias("days_bucket"))
         .agg(F.sum("customers").alias("customer_count"))
         .filter(F.col("days_bucket").isNotNull())
-        .orderBy(position("days_bucket", labels))
+        .transform(ordered, position("days_bucket", labels))
     )
 
 
@@ -153,7 +153,7 @@ def cohort_activity(
             "cohort_month", month_gap("cohort_month", "order_month").alias("months_since_first")
         )
         .agg(F.count("customer_id").alias("active_customers"))
-        .orderBy("cohort_month", "months_since_first")
+        .transform(ordered, "cohort_month", "months_since_first")
     )
 
 
@@ -184,7 +184,7 @@ def cohort_retention(
             active.alias("active_customers"),
             ratio(active, F.col("counts")[F.lit(0)], 100).alias("retention_pct"),
         )
-        .orderBy("cohort_month", "months_since_first")
+        .transform(ordered, "cohort_month", "months_since_first")
     )
 
 
@@ -202,7 +202,7 @@ def cohort_matrix(
     return wide.select(
         "cohort_month",
         *[ratio(F.col(f"`{m}`"), F.col("`0`"), 100).alias(f"month_{m}") for m in range(months)],
-    ).orderBy("cohort_month")
+    ).transform(ordered, "cohort_month")
 
 
 def retention_curve(
@@ -212,7 +212,7 @@ def retention_curve(
         cohort_retention(orders, start, end)
         .groupBy("months_since_first")
         .agg(F.avg("retention_pct").alias("avg_retention_pct"))
-        .orderBy("months_since_first")
+        .transform(ordered, "months_since_first")
     )
 
 
@@ -228,7 +228,7 @@ def monthly_churn(orders: DataFrame, start: str | None = None, end: str | None =
         .filter(before.isNotNull())
         .withColumn("churn_rate", ratio(before - now, before, 100))
         .withColumn("net_active_change_pct", -F.col("churn_rate"))
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 

@@ -15,7 +15,7 @@ from bazarlytics.functions.values import (
     ORDER_VALUE_4,
     ORDER_VALUE_7,
 )
-from bazarlytics.operators.grouping import share_of_total
+from bazarlytics.operators.grouping import ordered, share_of_total
 
 
 def payment_mix(orders: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def payment_mix(orders: DataFrame, start: str | None = None, end: str | None = N
         )
     )
     shares = share_of_total(mix, pct_of_orders="order_count", pct_of_revenue="total_revenue")
-    return shares.orderBy(F.desc("order_count"), "primary_payment_method")
+    return shares.transform(ordered, F.desc("order_count"), "primary_payment_method")
 
 
 def installment_range(count: Column | str) -> Column:
@@ -60,7 +60,7 @@ def installments(orders: DataFrame, start: str | None = None, end: str | None =
             "working_capital_impact",
             F.try_divide(F.col("total_revenue").cast("double") * (parts - 1), parts),
         )
-        .orderBy(position("installment_range", labels))
+        .transform(ordered, position("installment_range", labels))
     )
 
 
@@ -73,7 +73,7 @@ def order_value_tiers(
         .agg(orders_count("order_count"), revenue(), average("total_order_value", "avg_order_value"))
     )
     shares = share_of_total(tiers, pct_orders="order_count", pct_revenue="total_revenue")
-    return shares.orderBy(position("value_range", ORDER_VALUE_7.labels))
+    return shares.transform(ordered, position("value_range", ORDER_VALUE_7.labels))
 
 
 def freight_burden(orders: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def freight_burden(orders: DataFrame, start: str | None = None, end: str | None
             average("total_order_value", "avg_order_value"),
             mean(ratio("total_freight", "total_order_value", 100)).alias("avg_freight_pct"),
         )
-        .orderBy(position("order_value_range", ORDER_VALUE_4.labels))
+        .transform(ordered, position("order_value_range", ORDER_VALUE_4.labels))
     )
 
 
@@ -99,7 +99,7 @@ def seasonality(orders: DataFrame, start: str | None = None, end: str | None = N
             F.date_format("order_date", "MMM").alias("month_name"),
         )
         .agg(orders_count("order_count"), revenue(), average("total_order_value", "avg_order_value"))
-        .orderBy("month_num")
+        .transform(ordered, "month_num")
     )
 
 
@@ -135,7 +135,7 @@ def lifetime_value(
             average("aov", "avg_order_value"),
             average("tenure", "avg_tenure_days"),
         )
-        .orderBy(position("customer_segment", ORDER_COUNT_LTV.labels))
+        .transform(ordered, position("customer_segment", ORDER_COUNT_LTV.labels))
     )
 
 
@@ -153,5 +153,5 @@ def delivery_speed_revenue(
             average("review_score"),
             average("total_freight", "avg_freight"),
         )
-        .orderBy(position("delivery_speed", DELIVERY_SPEED.labels))
+        .transform(ordered, position("delivery_speed", DELIVERY_SPEED.labels))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bazarlytics.analyses.common import average, where
 from bazarlytics.functions.columns import position
 from bazarlytics.functions.values import LIFECYCLE_STAGES, VALUE_TIER_ORDER
-from bazarlytics.operators.grouping import share_of_total
+from bazarlytics.operators.grouping import ordered, share_of_total
 
 
 def _chosen(mart: DataFrame, segment: str | None, lifecycle: str | None) -> DataFrame:
@@ -25,7 +25,7 @@ def _ltv(name: str = "total_ltv"):
 
 def segment_list(mart: DataFrame) -> DataFrame:
     known = mart.filter(F.col("rfm_segment").isNotNull())
-    return known.select("rfm_segment").distinct().orderBy("rfm_segment")
+    return known.select("rfm_segment").distinct().transform(ordered, "rfm_segment")
 
 
 def customer_kpis(
@@ -54,7 +54,7 @@ def segment_summary(mart: DataFrame) -> DataFrame:
             average("rfm_total_score", "avg_rfm_score"),
             average("avg_review_score", "avg_satisfaction"),
         )
-        .orderBy(F.desc("avg_rfm_score"), "rfm_segment")
+        .transform(ordered, F.desc("avg_rfm_score"), "rfm_segment")
     )
 
 
@@ -62,7 +62,7 @@ def score_counts(
     mart: DataFrame, segment: str | None = None, lifecycle: str | None = None
 ) -> DataFrame:
     scores = ["recency_score", "frequency_score", "monetary_score"]
-    return _chosen(mart, segment, lifecycle).groupBy(*scores).agg(_people()).orderBy(*scores)
+    return _chosen(mart, segment, lifecycle).groupBy(*scores).agg(_people()).transform(ordered, *scores)
 
 
 def scores_by_segment(
@@ -77,7 +77,7 @@ def scores_by_segment(
             average("frequency_score", "avg_f"),
             average("monetary_score", "avg_m"),
         )
-        .orderBy(F.desc(F.col("avg_r") + F.col("avg_f") + F.col("avg_m")), "rfm_segment")
+        .transform(ordered, F.desc(F.col("avg_r") + F.col("avg_f") + F.col("avg_m")), "rfm_segment")
     )
 
 
@@ -92,7 +92,7 @@ def lifecycle_summary(mart: DataFrame) -> DataFrame:
             average("total_orders", "avg_orders"),
             average("avg_review_score", "avg_satisfaction"),
         )
-        .orderBy(position("lifecycle_stage", LIFECYCLE_STAGES))
+        .transform(ordered, position("lifecycle_stage", LIFECYCLE_STAGES))
     )
 
 
@@ -107,7 +107,7 @@ def value_tier_summary(mart: DataFrame) -> DataFrame:
             F.min("lifetime_value").alias("min_ltv"),
             F.max("lifetime_value").alias("max_ltv"),
         )
-        .orderBy(position("value_tier", VALUE_TIER_ORDER))
+        .transform(ordered, position("value_tier", VALUE_TIER_ORDER))
     )
 
 
@@ -134,7 +134,7 @@ def segment_characteristics(
     return (
         share_of_total(grouped, ltv_contribution_pct="ltv")
         .drop("ltv")
-        .orderBy(F.desc("ltv_contribution_pct"), "rfm_segment")
+        .transform(ordered, F.desc("ltv_contribution_pct"), "rfm_segment")
     )
 
 
@@ -152,7 +152,7 @@ def reactivation_targets(mart: DataFrame) -> DataFrame:
             average("recency_days", "avg_days_since_purchase"),
             average("avg_review_score", "avg_past_satisfaction"),
         )
-        .orderBy(F.desc("historical_ltv"), "rfm_segment", "lifecycle_stage")
+        .transform(ordered, F.desc("historical_ltv"), "rfm_segment", "lifecycle_stage")
     )
 
 
@@ -161,7 +161,7 @@ def segment_by_region(mart: DataFrame) -> DataFrame:
         mart.filter(F.col("region").isNotNull() & F.col("rfm_segment").isNotNull())
         .groupBy("region", "rfm_segment")
         .agg(_people(), _ltv())
-        .orderBy("region", F.desc("total_ltv"), "rfm_segment")
+        .transform(ordered, "region", F.desc("total_ltv"), "rfm_segment")
     )
 
 
@@ -181,5 +181,5 @@ def behavior_patterns(
             (F.try_divide(F.avg("orders_with_comments"), orders) * 100).alias("comment_rate"),
             average("unique_categories_purchased", "avg_categories"),
         )
-        .orderBy(F.asc_nulls_last("avg_repurchase_cycle"), "rfm_segment")
+        .transform(ordered, F.asc_nulls_last("avg_repurchase_cycle"), "rfm_segment")
     )

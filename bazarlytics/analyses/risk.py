@@ -12,7 +12,7 @@ from bazarlytics.functions.values import (
     INSTALLMENT_RANGE_OTHER,
     ORDER_VALUE_5,
 )
-from bazarlytics.operators.grouping import share_of_total, top
+from bazarlytics.operators.grouping import ordered, share_of_total, top
 
 
 def _canceled() -> Column:
@@ -49,7 +49,7 @@ def cancellation_trend(
         .agg(
             *_cancellations(), sum_where(_canceled(), "total_order_value").alias("canceled_revenue")
         )
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -60,7 +60,7 @@ def cancellation_by_value(
         in_period(orders, start, end)
         .groupBy(tier("total_order_value", ORDER_VALUE_5).alias("order_value_range"))
         .agg(*_cancellations(), average("total_order_value", "avg_order_value"))
-        .orderBy(position("order_value_range", ORDER_VALUE_5.labels))
+        .transform(ordered, position("order_value_range", ORDER_VALUE_5.labels))
     )
 
 
@@ -73,7 +73,7 @@ def cancellation_by_state(
         .groupBy("customer_state")
         .agg(*_cancellations(), average("total_order_value", "avg_order_value"))
         .filter(F.col("total_orders") >= min_orders)
-        .orderBy(F.desc("cancellation_rate"), "customer_state")
+        .transform(ordered, F.desc("cancellation_rate"), "customer_state")
     )
 
 
@@ -96,7 +96,7 @@ def cancellation_by_payment(
         .filter(F.col("primary_payment_method").isNotNull())
         .groupBy("primary_payment_method")
         .agg(*_cancellations())
-        .orderBy(F.desc("cancellation_rate"), "primary_payment_method")
+        .transform(ordered, F.desc("cancellation_rate"), "primary_payment_method")
     )
 
 
@@ -122,7 +122,7 @@ def installment_distribution(
     shared = share_of_total(counts, order_pct="order_count")
     if max_installments is not None:
         shared = shared.filter(F.col("max_installments") <= max_installments)
-    return shared.orderBy("max_installments")
+    return shared.transform(ordered, "max_installments")
 
 
 def installment_groups(
@@ -145,7 +145,7 @@ def installment_groups(
             F.avg("cancellation_rate").alias("cancellation_rate"),
             F.avg("avg_satisfaction").alias("avg_satisfaction"),
         )
-        .orderBy(position("installment_group", labels))
+        .transform(ordered, position("installment_group", labels))
     )
 
 
@@ -161,7 +161,7 @@ def payment_failure(orders: DataFrame, start: str | None = None, end: str | None
             average("max_installments", "avg_installments"),
             average("total_order_value", "avg_order_value"),
         )
-        .orderBy(F.desc("failure_rate"), "primary_payment_method")
+        .transform(ordered, F.desc("failure_rate"), "primary_payment_method")
     )
 
 

@@ -20,7 +20,7 @@ from bazarlytics.functions.values import (
     FREIGHT_SEGMENT,
     ORDER_VALUE_4,
 )
-from bazarlytics.operators.grouping import best_and_worst
+from bazarlytics.operators.grouping import best_and_worst, ordered
 
 STARS = {"five_star": 5, "four_star": 4, "three_star": 3, "two_star": 2, "one_star": 1}
 
@@ -60,7 +60,7 @@ def rating_distribution(
         rating.alias("rating"),
         "count",
         ratio("count", "total_orders_with_reviews", 100).alias("percentage"),
-    ).orderBy(F.desc("rating"))
+    ).transform(ordered, F.desc("rating"))
 
 
 def nps_trend(orders: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def nps_trend(orders: DataFrame, start: str | None = None, end: str | None = Non
             rate(detractors(), "detractors_pct"),
         )
         .withColumn("nps", F.col("promoters_pct") - F.col("detractors_pct"))
-        .orderBy("month")
+        .transform(ordered, "month")
     )
 
 
@@ -92,7 +92,7 @@ def rating_by_performance(
             rate(detractors(), "negative_pct"),
             average("days_to_delivery", "avg_delivery_days"),
         )
-        .orderBy(position("delivery_performance", DELIVERY_PERFORMANCES))
+        .transform(ordered, position("delivery_performance", DELIVERY_PERFORMANCES))
     )
 
 
@@ -109,7 +109,7 @@ def rating_by_delivery_time(
             average("review_score", "avg_rating"),
             rate(promoters(), "positive_pct"),
         )
-        .orderBy(position("delivery_bucket", DELIVERY_DAYS.labels))
+        .transform(ordered, position("delivery_bucket", DELIVERY_DAYS.labels))
     )
 
 
@@ -130,7 +130,7 @@ def state_satisfaction(
         )
         .filter(F.col("total_orders") >= min_orders)
         .withColumn("nps", F.col("promoters_pct") - F.col("detractors_pct"))
-        .orderBy(F.desc("avg_rating"), "customer_state")
+        .transform(ordered, F.desc("avg_rating"), "customer_state")
     )
 
 
@@ -186,7 +186,7 @@ def factors_by(
             F.avg("avg_rating").alias("avg_rating"),
             F.avg("positive_pct").alias("positive_pct"),
         )
-        .orderBy(*_factor_order(factor))
+        .transform(ordered, *_factor_order(factor))
     )
 
 

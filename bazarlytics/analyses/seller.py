@@ -12,7 +12,7 @@ from bazarlytics.functions.values import (
     SELLER_ACTIVITY_ORDER,
     SELLER_HEALTH_ORDER,
 )
-from bazarlytics.operators.grouping import top
+from bazarlytics.operators.grouping import ordered, top
 
 
 def _chosen(
@@ -32,7 +32,7 @@ def _sellers(name: str = "seller_count"):
 
 def value_list(mart: DataFrame, column: str) -> DataFrame:
     """Distinct known values of a filter column: seller_health, activity_status or region."""
-    return mart.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+    return mart.filter(F.col(column).isNotNull()).select(column).distinct().transform(ordered, column)
 
 
 def marketplace_kpis(mart: DataFrame, **chosen) -> DataFrame:
@@ -74,7 +74,7 @@ def health_distribution(mart: DataFrame, min_orders: int = 1) -> DataFrame:
             average("avg_review_score", "avg_review"),
             average("on_time_delivery_rate", "avg_on_time_rate"),
         )
-        .orderBy(position("seller_health", SELLER_HEALTH_ORDER))
+        .transform(ordered, position("seller_health", SELLER_HEALTH_ORDER))
     )
 
 
@@ -88,7 +88,7 @@ def activity_distribution(mart: DataFrame, min_orders: int = 1) -> DataFrame:
             average("orders_last_30_days", "avg_orders_30d"),
             average("orders_last_90_days", "avg_orders_90d"),
         )
-        .orderBy(position("activity_status", SELLER_ACTIVITY_ORDER))
+        .transform(ordered, position("activity_status", SELLER_ACTIVITY_ORDER))
     )
 
 
@@ -104,7 +104,7 @@ def revenue_by_tier(mart: DataFrame, **chosen) -> DataFrame:
             average("revenue_per_day_active", "avg_revenue_per_day"),
             average("total_orders", "avg_orders"),
         )
-        .orderBy("seller_performance_tier")
+        .transform(ordered, "seller_performance_tier")
     )
 
 
@@ -130,7 +130,7 @@ def percentile_histogram(mart: DataFrame, bins: int = 20, **chosen) -> DataFrame
         ranked.groupBy(place.alias("bin"))
         .agg(_sellers())
         .select("bin", (F.col("bin") * width).alias("from_percentile"), "seller_count")
-        .orderBy("bin")
+        .transform(ordered, "bin")
     )
 
 
@@ -146,7 +146,7 @@ def specialization(mart: DataFrame, min_orders: int = 1) -> DataFrame:
             average("total_revenue", "avg_revenue"),
             average("avg_review_score", "avg_review"),
         )
-        .orderBy(position("product_diversity_type", DIVERSITY_TYPE.labels))
+        .transform(ordered, position("product_diversity_type", DIVERSITY_TYPE.labels))
     )
 
 
@@ -161,7 +161,7 @@ def region_summary(mart: DataFrame, min_orders: int = 1) -> DataFrame:
             average("unique_customer_states", "avg_states_reached"),
             average("same_state_order_rate", "avg_same_state_rate"),
         )
-        .orderBy(F.desc("total_revenue"), "region")
+        .transform(ordered, F.desc("total_revenue"), "region")
     )
 
 
@@ -176,7 +176,7 @@ def geographic_focus(mart: DataFrame, min_orders: int = 1) -> DataFrame:
             average("same_state_order_rate", "avg_same_state_rate"),
             average("unique_customer_states", "avg_states_reached"),
         )
-        .orderBy(F.desc("avg_revenue"), "geographic_focus")
+        .transform(ordered, F.desc("avg_revenue"), "geographic_focus")
     )
 
 

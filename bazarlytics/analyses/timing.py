@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bazarlytics.analyses.common import average, delivered, orders_count, revenue
 from bazarlytics.functions.columns import day_of_week, position, tier
 from bazarlytics.functions.values import DORMANCY, DORMANT_VALUE, REACTIVATION
+from bazarlytics.operators.grouping import ordered
 
 
 def _volume():
@@ -22,7 +23,7 @@ def by_day_of_week(orders: DataFrame, start: str | None = None, end: str | None
             F.date_format("order_date", "EEEE").alias("day_of_week"),
         )
         .agg(*_volume())
-        .orderBy("day_of_week_num")
+        .transform(ordered, "day_of_week_num")
     )
 
 
@@ -36,7 +37,7 @@ def by_month_of_year(
             F.date_format("order_date", "MMMM").alias("month_name"),
         )
         .agg(*_volume(), F.countDistinct("customer_id").alias("unique_customers"))
-        .orderBy("month_num")
+        .transform(ordered, "month_num")
     )
 
 
@@ -46,7 +47,7 @@ def by_quarter(orders: DataFrame, start: str | None = None, end: str | None = No
         .groupBy(F.quarter("order_date").alias("quarter"), F.year("order_date").alias("year"))
         .agg(*_volume())
         .withColumn("period", F.concat(F.col("year"), F.lit(" Q"), F.col("quarter")))
-        .orderBy("year", "quarter")
+        .transform(ordered, "year", "quarter")
     )
 
 
@@ -56,7 +57,7 @@ def by_hour(orders: DataFrame, start: str | None = None, end: str | None = None)
         .filter(F.col("order_purchase_timestamp").isNotNull())
         .groupBy(F.hour("order_purchase_timestamp").alias("hour"))
         .agg(*_volume())
-        .orderBy("hour")
+        .transform(ordered, "hour")
     )
 
 
@@ -100,7 +101,7 @@ def reactivation_segments(
             average("lifetime_orders", "avg_orders"),
             average("avg_review_score", "avg_satisfaction"),
         )
-        .orderBy(position("reactivation_segment", REACTIVATION.labels))
+        .transform(ordered, position("reactivation_segment", REACTIVATION.labels))
     )
 
 
@@ -123,5 +124,5 @@ def dormant_value(
             tier("lifetime_value", DORMANT_VALUE).alias("value_segment"),
         )
         .agg(F.count("*").alias("customer_count"), average("lifetime_value", "avg_ltv"))
-        .orderBy("segment", F.desc("avg_ltv"))
+        .transform(ordered, "segment", F.desc("avg_ltv"))
     )

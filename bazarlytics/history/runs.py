@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazarlytics.functions.columns import case, count_where, percent
 from bazarlytics.functions.values import MODEL_LAYER_OTHER, MODEL_LAYERS
-from bazarlytics.operators.grouping import top
+from bazarlytics.operators.grouping import ordered, top
 from bazarlytics.sources.artifacts import read_manifest, read_run_results
 from bazarlytics.sources.files import append_table, empty_table
 from bazarlytics.sources.schemas import MODEL_HISTORY, RUN_HISTORY
@@ -126,7 +126,7 @@ def runtime_trend(runs: DataFrame, as_of: str | None = None, days: int = 30) ->
             F.sum("total_models").alias("models_executed"),
             _seconds(F.sum("total_runtime_seconds")).alias("runtime_seconds"),
         )
-        .orderBy("run_date")
+        .transform(ordered, "run_date")
     )
 
 
@@ -170,7 +170,7 @@ def time_by_layer(models: DataFrame, as_of: str | None = None, days: int = 7) ->
             _seconds(F.try_divide(F.sum("s"), F.sum("n"))).alias("avg_execution_seconds"),
             _seconds(F.sum("s")).alias("total_execution_seconds"),
         )
-        .orderBy(F.desc("total_execution_seconds"))
+        .transform(ordered, F.desc("total_execution_seconds"))
     )
 
 
@@ -210,7 +210,7 @@ def model_over_time(
             _seconds(F.avg("execution_time_seconds")).alias("avg_runtime"),
             F.count("*").alias("executions"),
         )
-        .orderBy("execution_date")
+        .transform(ordered, "execution_date")
     )
 
 
@@ -225,5 +225,5 @@ def runs_by_command(runs: DataFrame) -> DataFrame:
             won.alias("successful_runs"),
             F.round(percent(won, F.count("*")), 2).alias("success_rate_pct"),
         )
-        .orderBy(F.desc("runs"), "dbt_command")
+        .transform(ordered, F.desc("runs"), "dbt_command")
     )

@@ -37,6 +37,23 @@ def value_profile(
     )
 
 
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union by halves, so that a long list does not nest as deep as it is long."""
+    if len(frames) == 1:
+        return frames[0]
+    middle = len(frames) // 2
+    return union_all(frames[:middle]).unionByName(union_all(frames[middle:]))
+
+
+def ordered(df: DataFrame, *order_by: Column | str) -> DataFrame:
+    """A grouped result in order, for results bounded by a label list or the calendar.
+
+    The few rows meet in one task. A global sort would first run the query once more to
+    sample range bounds for them.
+    """
+    return df.repartition(1).sortWithinPartitions(*order_by)
+
+
 def top(df: DataFrame, n: int, *order_by: Column | str) -> DataFrame:
     """First n rows of an order that must be unique; one bounded heap per task."""
     return df.orderBy(*order_by).limit(n)

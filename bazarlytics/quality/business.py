@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazarlytics.functions.columns import case, day_gap, either, lookup
+from bazarlytics.operators.grouping import union_all
 from bazarlytics.quality.checks import Check, Tables, aggregate_equals
 
 
@@ -55,8 +54,7 @@ def missing_date_keys(t: Tables) -> DataFrame:
         ("fct_reviews", "review_date_key"),
         ("fct_reviews", "order_date_key"),
     ]
-    keys = reduce(
-        DataFrame.unionByName,
+    keys = union_all(
         [
             t[table].select(F.col(column).alias("date_key"), F.lit(table).alias("source_table"))
             for table, column in uses
@@ -109,8 +107,7 @@ def negative_values(t: Tables) -> DataFrame:
         ("dim_category", "product_category_name", "total_revenue"),
         ("dim_products", "product_id", "total_revenue"),
     ]
-    return reduce(
-        DataFrame.unionByName,
+    return union_all(
         [
             t[table].filter(F.col(column) < 0).select(
                 F.lit(table).alias("table_name"),

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazarlytics.functions.columns import day_gap
 from bazarlytics.functions.values import STATE_NAMES
+from bazarlytics.operators.grouping import union_all
 
 Tables = Mapping[str, DataFrame]
 
@@ -301,7 +301,7 @@ def failure_counts(checks: Sequence[Check], tables: Tables) -> DataFrame:
         if c.rows is not None:
             counted = c.rows(tables).agg(F.count("*").alias("failures"))
             parts.append(counted.select(F.lit(c.name).alias("name"), "failures"))
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def run_checks(checks: Sequence[Check], tables: Tables) -> DataFrame:

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazarlytics.functions.columns import mean, percent, position
 from bazarlytics.functions.values import REVIEW_SENTIMENTS
-from bazarlytics.operators.grouping import share_of_total, top
+from bazarlytics.operators.grouping import ordered, share_of_total, top, union_all
 from bazarlytics.quality.checks import Tables
 
 
 def table_counts(tables: Tables, names: Sequence[str]) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName,
+    return union_all(
         [
             tables[n].agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows")
             for n in names
@@ -53,7 +51,7 @@ def sentiment_mix(orders: DataFrame) -> DataFrame:
         orders.filter(F.col("review_sentiment").isNotNull())
         .groupBy("review_sentiment")
         .agg(F.count("*").alias("count"), mean("review_score").alias("avg_score"))
-        .orderBy(position("review_sentiment", REVIEW_SENTIMENTS))
+        .transform(ordered, position("review_sentiment", REVIEW_SENTIMENTS))
     )
 
 
@@ -73,7 +71,7 @@ def busiest_states(orders: DataFrame, n: int = 5) -> DataFrame:
 def status_summary(results: DataFrame) -> DataFrame:
     """Check results by status with their share."""
     counted = results.groupBy("status").agg(F.count("*").alias("checks"))
-    return share_of_total(counted, percentage="checks").orderBy("status")
+    return share_of_total(counted, percentage="checks").transform(ordered, "status")
 
 
 def result_totals(results: DataFrame) -> DataFrame:
@@ -90,7 +88,7 @@ def result_totals(results: DataFrame) -> DataFrame:
 def failing_checks(results: DataFrame) -> DataFrame:
     """Checks that did not pass, most failures first."""
     bad = results.filter(~F.col("status").isin("pass", "success"))
-    return bad.orderBy(F.desc("failures"), "name")
+    return bad.transform(ordered, F.desc("failures"), "name")
 
 
 def slowest_checks(results: DataFrame, n: int = 20) -> DataFrame:

@@ -7,7 +7,6 @@ session's shared folder; the models themselves are computed afresh when they are
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +26,7 @@ from bazarlytics.analyses import (
     timing,
 )
 from bazarlytics.history import runs
+from bazarlytics.operators.grouping import union_all
 from bazarlytics.plans.warehouse import MODELS, Warehouse, retail_warehouse
 from bazarlytics.quality import business, checks, profile, suite
 from bazarlytics.session import tune
@@ -312,8 +312,7 @@ CHECKS: dict[str, Query] = {
         w["fct_order_items"], "freight_percentage"
     ),
     **{f"check_{c.name}": c.failing for c in business.business_checks()},
-    "check_freshness": lambda w: reduce(
-        DataFrame.unionByName,
+    "check_freshness": lambda w: union_all(
         [
             checks.freshness(w[f"raw_{source}"], source, column, warn, error, AS_OF)
             for source, column, warn, error in suite.FRESHNESS
