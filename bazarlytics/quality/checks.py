@@ -1,8 +1,8 @@
 """Data checks. Each one yields the rows that break a rule; no rows means it passes.
 
-Rules come in three kinds. A row rule is a condition on single rows and an aggregate rule
-a condition on a table's totals: all of these for one table are counted in a single scan.
-A set rule needs its own joins or grouping and yields its failing rows as a frame.
+Rules come in three kinds. A row rule is a SQL condition on single rows and a total rule a
+SQL condition on a table's aggregates: all of these for one table are counted in a single
+scan. A set rule needs its own joins or grouping and yields its failing rows as a frame.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ Tables = Mapping[str, DataFrame]
 class Check:
     """A named rule with the severity of a failure and tags to select it by.
 
-    Exactly one of ``row``, ``total`` and ``rows`` is set: a failing-row condition, an
-    aggregate that is true when the table fails, or a function to the failing rows.
+    Exactly one of ``row``, ``total`` and ``rows`` is set: the condition of a failing row,
+    a condition on aggregates that holds when the table fails, or a function to the
+    failing rows. An unknown condition passes.
     """
 
     name: str
     table: str
-    row: Callable[[], Column] | None = None
-    total: Callable[[], Column] | None = None
+    row: str | None = None
+    total: str | None = None
     rows: Callable[[Tables], DataFrame] | None = None
     severity: str = "warn"
     tags: tuple[str, ...] = field(default=())
@@ -40,40 +41,42 @@ class Check:
         if self.rows is not None:
             return self.rows(tables)
         if self.row is not None:
-            return tables[self.table].filter(self.row())
-        return tables[self.table].agg(self.total().alias("failed")).filter("failed")
+            return tables[self.table].filter(self.row)
+        return tables[self.table].selectExpr(f"{self.total} AS failed").filter("failed")
+
+
+def literal(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def _listing(values: Sequence) -> str:
+    return ", ".join(literal(x) for x in values)
+
+
+def _and(condition: str, where: str | None) -> str:
+    return f"({condition}) AND ({where})" if where else condition
 
 
 # --- rules on rows ---------------------------------------------------------------------
 
 
 def not_null(table: str, column: str, **options) -> Check:
-    return Check(f"not_null_{table}_{column}", table, row=lambda: F.col(column).isNull(), **options)
+    return Check(f"not_null_{table}_{column}", table, row=f"{column} IS NULL", **options)
 
 
 def accepted_values(table: str, column: str, values: Sequence, **options) -> Check:
-    return Check(
-        f"accepted_values_{table}_{column}",
-        table,
-        row=lambda: ~F.col(column).isin(list(values)),
-        **options,
-    )
+    rule = f"{column} NOT IN ({_listing(values)})"
+    return Check(f"accepted_values_{table}_{column}", table, row=rule, **options)
 
 
-def outside(
-    column: str | Column,
-    low=None,
-    high=None,
-    inclusive: bool = True,
-) -> Column:
-    """True for a known value that lies out of bounds."""
-    value = F.col(column) if isinstance(column, str) else column
-    bad = F.lit(False)
-    if low is not None:
-        bad = bad | ((value < F.lit(low)) if inclusive else (value <= F.lit(low)))
-    if high is not None:
-        bad = bad | ((value > F.lit(high)) if inclusive else (value >= F.lit(high)))
-    return bad
+def outside(column: str, low=None, high=None, inclusive: bool = True) -> str:
+    """Condition of a known value that lies out of bounds."""
+    below, above = ("<", ">") if inclusive else ("<=", ">=")
+    bounds = [f"{column} {below} {literal(low)}"] if low is not None else []
+    bounds += [f"{column} {above} {literal(high)}"] if high is not None else []
+    return " OR ".join(bounds) or "false"
 
 
 def accepted_range(
@@ -86,11 +89,8 @@ def accepted_range(
     prefix: str = "accepted_range",
     **options,
 ) -> Check:
-    def condition() -> Column:
-        bad = outside(column, low, high, inclusive)
-        return bad & F.expr(where) if where else bad
-
-    return Check(f"{prefix}_{table}_{column}", table, row=condition, **options)
+    rule = _and(outside(column, low, high, inclusive), where)
+    return Check(f"{prefix}_{table}_{column}", table, row=rule, **options)
 
 
 def values_between(
@@ -102,52 +102,38 @@ def values_between(
 
 
 def values_in_set(table: str, column: str, values: Sequence, where: str | None = None, **options):
-    def condition() -> Column:
-        bad = ~F.col(column).isin(list(values))
-        return bad & F.expr(where) if where else bad
-
-    return Check(f"values_in_set_{table}_{column}", table, row=condition, **options)
+    rule = _and(f"{column} NOT IN ({_listing(values)})", where)
+    return Check(f"values_in_set_{table}_{column}", table, row=rule, **options)
 
 
 def expression_is_true(table: str, name: str, expression: str, **options) -> Check:
     """A row fails when the expression is false; an unknown result passes."""
-    return Check(
-        f"expression_{table}_{name}",
-        table,
-        row=lambda: ~F.coalesce(F.expr(expression), F.lit(True)),
-        **options,
-    )
+    return Check(f"expression_{table}_{name}", table, row=f"NOT ({expression})", **options)
 
 
 def pair_ordered(table: str, greater: str, lesser: str, or_equal: bool = True, **options) -> Check:
-    def condition() -> Column:
-        a, b = F.col(greater), F.col(lesser)
-        return a < b if or_equal else a <= b
-
-    return Check(f"pair_ordered_{table}_{greater}_{lesser}", table, row=condition, **options)
+    rule = f"{greater} {'<' if or_equal else '<='} {lesser}"
+    return Check(f"pair_ordered_{table}_{greater}_{lesser}", table, row=rule, **options)
 
 
 # --- rules on totals -------------------------------------------------------------------
 
 
 def row_count_between(table: str, low: int, high: int, **options) -> Check:
-    return Check(
-        f"row_count_{table}", table, total=lambda: ~F.count("*").between(low, high), **options
-    )
+    rule = f"count(*) NOT BETWEEN {low} AND {high}"
+    return Check(f"row_count_{table}", table, total=rule, **options)
 
 
 def at_least_one(table: str, column: str, **options) -> Check:
-    return Check(f"at_least_one_{table}_{column}", table, total=lambda: F.count(column) == 0, **options)
+    rule = f"count({column}) = 0"
+    return Check(f"at_least_one_{table}_{column}", table, total=rule, **options)
 
 
 def recency(table: str, column: str, days: int, as_of: str | None = None, **options) -> Check:
     """Fails when the newest value is more than ``days`` days before ``as_of``."""
-
-    def stale() -> Column:
-        today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-        return F.coalesce(day_gap(F.max(column), today) > days, F.lit(True))
-
-    return Check(f"recency_{table}_{column}", table, total=stale, **options)
+    today = f"DATE'{as_of}'" if as_of else "current_date()"
+    rule = f"coalesce(datediff({today}, max({column})) > {days}, true)"
+    return Check(f"recency_{table}_{column}", table, total=rule, **options)
 
 
 # --- rules on sets ---------------------------------------------------------------------
@@ -210,7 +196,34 @@ def invalid_dates(df: DataFrame, column: str, low: str, high: str) -> DataFrame:
 
 
 def invalid_percentages(df: DataFrame, column: str, low=0, high=100) -> DataFrame:
-    return invalid_values(df, column, outside(column, low, high), "invalid_percentage")
+    return invalid_values(df, column, F.expr(outside(column, low, high)), "invalid_percentage")
+
+
+def value_check(name: str, table: str, column: str, find: Callable, *args, **options) -> Check:
+    return Check(
+        f"{name}_{table}_{column}",
+        table,
+        rows=lambda t: find(t[table], column, *args),
+        **{"severity": "error", **options},
+    )
+
+
+def valid_state(table: str, column: str, **options) -> Check:
+    return value_check("valid_state", table, column, invalid_states, **options)
+
+
+def valid_zip_prefix(table: str, column: str, **options) -> Check:
+    return value_check("valid_zip_prefix", table, column, invalid_zip_prefixes, **options)
+
+
+def date_range_valid(
+    table: str, column: str, low: str = "2016-01-01", high: str = "2019-12-31", **options
+) -> Check:
+    return value_check("date_range_valid", table, column, invalid_dates, low, high, **options)
+
+
+def percentage_range(table: str, column: str, low=0, high=100, **options) -> Check:
+    return value_check("percentage_range", table, column, invalid_percentages, low, high, **options)
 
 
 def aggregate_equals(
@@ -288,15 +301,13 @@ def failure_counts(checks: Sequence[Check], tables: Tables) -> DataFrame:
     for table in dict.fromkeys(c.table for c in checks):
         mine = [c for c in checks if c.table == table and c.rows is None]
         if mine:
-            counted = tables[table].agg(
-                *[
-                    (F.count_if(c.row()) if c.row else F.when(c.total(), 1).otherwise(0))
-                    .cast("long")
-                    .alias(c.name)
-                    for c in mine
-                ]
-            )
-            parts.append(counted.unpivot([], [c.name for c in mine], "name", "failures"))
+            counts = [
+                f"{literal(c.name)}, "
+                + (f"count_if({c.row})" if c.row else f"bigint(if({c.total}, 1, 0))")
+                for c in mine
+            ]
+            counted = f"stack({len(mine)}, {', '.join(counts)}) AS (name, failures)"
+            parts.append(tables[table].selectExpr(counted))
     for c in checks:
         if c.rows is not None:
             counted = c.rows(tables).agg(F.count("*").alias("failures"))

@@ -209,6 +209,7 @@ ROW_COUNTS = {
     "dim_category": (50, 200),
     "dim_date": (1000, 2000),
     "dim_products": (10000, 50000),
+    "mart_executive_dashboard": (1, 50),
     "mart_customer_analytics": (50000, 150000),
     "mart_product_performance": (10000, 50000),
     "mart_seller_scorecard": (2000, 10000),
@@ -318,5 +319,16 @@ def declared_checks(
     return out
 
 
+def history_checks() -> list[Check]:
+    """Rules of the run-history tables."""
+    tags = ("generic", "monitoring")
+    return [
+        c.expression_is_true("run_history", "models_not_negative", "total_models >= 0", tags=tags),
+        c.expression_is_true(
+            "model_history", "time_not_negative", "execution_time_seconds >= 0", tags=tags
+        ),
+    ]
+
+
 def all_checks(as_of: str | None = None) -> list[Check]:
     return declared_checks(as_of) + business_checks()

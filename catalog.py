@@ -346,6 +346,9 @@ HISTORY: dict[str, History] = {
     "history_slow_executions": lambda r, m: runs.slow_executions(m),
     "history_model_over_time": lambda r, m: runs.model_over_time(m, "fct_orders", RUN_DAY),
     "history_runs_by_command": lambda r, m: runs.runs_by_command(r),
+    "history_checks": lambda r, m: checks.run_checks(
+        suite.history_checks(), {"run_history": r, "model_history": m}
+    ),
 }
 
 

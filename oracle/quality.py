@@ -293,6 +293,10 @@ HISTORY = {
         SELECT dbt_command, count(*) AS runs, {_rounded("avg(total_runtime_seconds)", "avg_runtime")},
                count(*) FILTER (success) AS successful_runs, {_rounded(pct("count(*) FILTER (success)"), "success_rate_pct")}
         FROM run_history GROUP BY dbt_command""",
+    "history_checks": """
+        SELECT name, 'warn' AS severity, failures, if(failures = 0, 'pass', 'warn') AS status FROM (
+            SELECT 'expression_run_history_models_not_negative' AS name, count(*) FILTER (total_models < 0) AS failures FROM run_history
+            UNION ALL SELECT 'expression_model_history_time_not_negative', count(*) FILTER (execution_time_seconds < 0) FROM model_history) c""",
 }
 
 STATEMENTS = {

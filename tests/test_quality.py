@@ -64,6 +64,23 @@ def test_invalid_values(tables, frame):
     assert [tuple(r) for r in checks.invalid_dates(days, "d", "2016-01-01", "2019-12-31").collect()] == [(dt.date(2015, 1, 1), 2)]
 
 
+def test_value_checks_are_errors_by_default(tables):
+    chosen = [
+        checks.valid_state("a", "state"), checks.valid_zip_prefix("a", "zip"), checks.percentage_range("a", "amount"),
+        checks.percentage_range("a", "id", severity="warn"),
+    ]
+    results = {r.name: (r.severity, r.failures) for r in checks.run_checks(chosen, tables).collect()}
+    assert results == {
+        "valid_state_a_state": ("error", 1), "valid_zip_prefix_a_zip": ("error", 2), "percentage_range_a_amount": ("error", 2),
+        "percentage_range_a_id": ("warn", 0),
+    }
+
+
+def test_text_literals_are_quoted(frame):
+    t = {"q": frame([("a'b",), ("c\\d",), ("x",)], "v string")}
+    assert [r.v for r in checks.accepted_values("q", "v", ["a'b", "c\\d"]).failing(t).collect()] == ["x"]
+
+
 def test_schema_checks(tables):
     a = tables["a"]
     assert checks.type_mismatch(a, "id", "int").count() == 0 and checks.type_mismatch(a, "id", "string").count() == 1
