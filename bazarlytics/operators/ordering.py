@@ -37,6 +37,28 @@ def number_rows(df: DataFrame, order_by: Sequence[Column | str], name: str = "ro
     )
 
 
+def running_total(
+    df: DataFrame, order_by: Sequence[Column | str], amount: str, name: str
+) -> DataFrame:
+    """Add the sum of an amount over all rows up to this one, in an order without ties.
+
+    Each sorted partition is summed by itself and raised by the sum of those before it.
+    """
+    frozen = freeze(df.sort(*order_by).withColumn(_PART, F.spark_partition_id()))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        frozen.groupBy(_PART)
+        .agg(F.sum(amount).alias("_sum"))
+        .select(_PART, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy(_PART).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        frozen.join(F.broadcast(offsets), _PART)
+        .withColumn(name, F.col("_before") + F.sum(amount).over(inside))
+        .drop(_PART, "_before")
+    )
+
+
 def number_rows_within(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], name: str
 ) -> DataFrame:
@@ -93,32 +115,38 @@ def with_ntiles(
     return out.drop(*[f"_bounds_{name}" for name in specs])
 
 
+def _cumulative_counts(df: DataFrame, value: Column) -> DataFrame:
+    """Distinct values with their count ``_n`` and the rows ``_upto`` that do not exceed them.
+
+    Equal values are counted before the sort, so a value that holds most rows is one row.
+    """
+    counted = df.groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
+    return running_total(counted, [F.col("_v").asc_nulls_last()], "_n", "_upto")
+
+
 def with_percent_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add (rank - 1) / (N - 1) over the whole frame, ties sharing the lowest rank."""
-    numbered = number_rows(df.select(F.col(value).alias("_v")), [F.col("_v").asc_nulls_last()], "_n")
-    by_value = numbered.groupBy("_v").agg(F.min("_n").alias("_rank"))
-    total = numbered.agg(F.count("*"))
+    ranks = _cumulative_counts(df, F.col(value))
+    total = ranks.agg(F.sum("_n")).scalar()
+    below = F.col("_upto") - F.col("_n")
     return (
-        df.join(by_value, F.col(value).eqNullSafe(F.col("_v")), "left")
-        .withColumn("_total", total.scalar())
-        .withColumn(
-            name,
-            F.when(F.col("_total") > 1, (F.col("_rank") - 1) / (F.col("_total") - 1)).otherwise(0.0),
-        )
-        .drop("_v", "_rank", "_total")
+        df.join(ranks, F.col(value).eqNullSafe(F.col("_v")), "left")
+        .withColumn("_total", total)
+        .withColumn(name, F.when(F.col("_total") > 1, below / (F.col("_total") - 1)).otherwise(0.0))
+        .drop("_v", "_n", "_upto", "_total")
     )
 
 
 def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
     """One row: the middle value, or the mean of the two middle values."""
-    known = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    numbered = number_rows(known, ["_v"], "_n")
-    total = numbered.agg(F.count("*")).scalar()
+    known = df.filter(F.col(value).isNotNull())
+    ranks = _cumulative_counts(known, F.col(value).cast("double"))
+    total, upto = F.col("_total"), F.col("_upto")
+    # the rows numbered floor((N + 1) / 2) and ceil((N + 1) / 2), which may be the same
+    middles = F.array(F.floor((total + 1) / 2), F.ceil((total + 1) / 2))
+    hits = F.size(F.filter(middles, lambda m: (m <= upto) & (m > upto - F.col("_n"))))
     return (
-        numbered.withColumn("_total", total)
-        .filter(
-            (F.col("_n") == F.floor((F.col("_total") + 1) / 2))
-            | (F.col("_n") == F.ceil((F.col("_total") + 1) / 2))
-        )
-        .agg(F.avg("_v").alias(name))
+        ranks.withColumn("_total", ranks.agg(F.sum("_n")).scalar())
+        .withColumn("_hits", hits)
+        .agg((F.sum(F.col("_v") * F.col("_hits")) / F.sum("_hits")).alias(name))
     )

@@ -160,6 +160,25 @@ MODELS: dict[str, Callable[[Warehouse], DataFrame]] = {
 }
 
 
+class StoredTables(Mapping[str, DataFrame]):
+    """The tables of a built warehouse, read from its folder and never written."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in MODELS or name.startswith("int_"):
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def __iter__(self):
+        return (name for name in MODELS if not name.startswith("int_"))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+
 def csv_warehouse(spark: SparkSession, folder: str, **options) -> Warehouse:
     """A warehouse over the nine raw CSV files of a folder."""
     from bazarlytics.sources.files import read_raw_csv

@@ -9,6 +9,7 @@ from bazarlytics.operators.ordering import (
     exact_median,
     number_rows,
     number_rows_within,
+    running_total,
     with_ntiles,
     with_percent_rank,
 )
@@ -37,6 +38,23 @@ def test_row_numbers_within_a_hot_key(spark):
     same(number_rows_within(df, ["k"], ["v"], "n"), expected)
 
 
+def test_running_total(spark):
+    df = spark.range(2000).select(((F.col("id") * 7919) % 2003).alias("v"), (F.col("id") % 7).alias("n"))
+    expected = df.withColumn("t", F.sum("n").over(Window.orderBy("v")))
+    same(running_total(df, ["v"], "n", "t"), expected)
+
+
+def test_median_and_rank_of_a_hot_value(spark):
+    # two thirds of the rows share one value
+    df = spark.range(9000).select("id", F.when(F.col("id") % 3 > 0, 50).otherwise(F.col("id") % 101).alias("v"))
+    same(exact_median(df, "v"), df.agg(F.median("v").alias("median")))
+    same(with_percent_rank(df, "v", "p"), df.withColumn("p", F.percent_rank().over(Window.orderBy("v"))))
+
+
+def test_median_of_nothing_is_unknown(frame):
+    assert exact_median(frame([(None,)], "v double"), "v").first().median is None
+
+
 @pytest.mark.parametrize("size", [0, 1, 3, 4, 5, 6, 12, 103])
 def test_ntiles(spark, size):
     df = spark.range(size).select(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazarlytics.analyses.common import in_period
-from bazarlytics.plans.warehouse import MODELS, csv_warehouse
+from bazarlytics.plans.warehouse import MODELS, StoredTables, csv_warehouse
 from bazarlytics.sources import files
 from bazarlytics.sources.schemas import RAW
 from tests.test_models import CATEGORIES, CUSTOMERS, PRODUCTS, SELLERS, item, order, pay, review
@@ -82,5 +82,9 @@ def test_build_from_csv(spark, csv_folder, tmp_path):
     assert set(seconds) == {m for m in MODELS if not m.startswith("int_")}
     assert w["fct_orders"].count() == 2 and w["mart_customer_analytics"].count() == 2
     assert w["dim_customers"].filter("customer_id = 'c1'").first().days_since_last_order == 22
+    stored = StoredTables(spark, str(tmp_path / "built"))
+    assert set(stored) == set(seconds) and stored["fct_orders"].count() == 2
+    with pytest.raises(KeyError):
+        stored["int_orders_enriched"]
     w.register_views()
     assert spark.sql("SELECT sum(total_order_value) AS v FROM fct_orders").first().v == 220
