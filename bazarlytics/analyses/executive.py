@@ -100,7 +100,8 @@ def revenue_trend(orders: DataFrame, start: str | None = None, end: str | None =
     def growth(rows: int):
         return (F.try_divide(now, F.lag(now, rows).over(by_month)) - 1) * 100
 
-    return monthly.withColumns({"mom_growth": growth(1), "yoy_growth": growth(12)}).transform(ordered, "month")
+    grown = monthly.withColumns({"mom_growth": growth(1), "yoy_growth": growth(12)})
+    return ordered(grown, "month")
 
 
 def customer_acquisition(

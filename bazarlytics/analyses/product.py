@@ -23,7 +23,8 @@ def _named(mart: DataFrame, category: str | None, min_sales: int) -> DataFrame:
 
 
 def category_list(mart: DataFrame) -> DataFrame:
-    return mart.filter(F.col(CATEGORY).isNotNull()).select(CATEGORY).distinct().transform(ordered, CATEGORY)
+    known = mart.filter(F.col(CATEGORY).isNotNull())
+    return ordered(known.select(CATEGORY).distinct(), CATEGORY)
 
 
 def product_kpis(mart: DataFrame, category: str | None = None, min_sales: int = 1) -> DataFrame:

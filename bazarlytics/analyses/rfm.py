@@ -62,7 +62,8 @@ def score_counts(
     mart: DataFrame, segment: str | None = None, lifecycle: str | None = None
 ) -> DataFrame:
     scores = ["recency_score", "frequency_score", "monetary_score"]
-    return _chosen(mart, segment, lifecycle).groupBy(*scores).agg(_people()).transform(ordered, *scores)
+    counted = _chosen(mart, segment, lifecycle).groupBy(*scores).agg(_people())
+    return ordered(counted, *scores)
 
 
 def scores_by_segment(

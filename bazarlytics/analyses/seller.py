@@ -32,7 +32,7 @@ def _sellers(name: str = "seller_count"):
 
 def value_list(mart: DataFrame, column: str) -> DataFrame:
     """Distinct known values of a filter column: seller_health, activity_status or region."""
-    return mart.filter(F.col(column).isNotNull()).select(column).distinct().transform(ordered, column)
+    return ordered(mart.filter(F.col(column).isNotNull()).select(column).distinct(), column)
 
 
 def marketplace_kpis(mart: DataFrame, **chosen) -> DataFrame:

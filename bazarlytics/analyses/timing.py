@@ -70,12 +70,13 @@ def peaks(orders: DataFrame, start: str | None = None, end: str | None = None) -
         )
         return df.agg(best.alias("value")).select(F.lit(kind).alias("peak"), "value")
 
+    days = by_day_of_week(orders, start, end)
+    months = by_month_of_year(orders, start, end)
+    hours = by_hour(orders, start, end)
     return (
-        peak(by_day_of_week(orders, start, end), "day_of_week", "day_of_week", "total_orders", "day_of_week_num")
-        .unionByName(
-            peak(by_month_of_year(orders, start, end), "month", "month_name", "total_revenue", "month_num")
-        )
-        .unionByName(peak(by_hour(orders, start, end), "hour", "hour", "total_orders", "hour"))
+        peak(days, "day_of_week", "day_of_week", "total_orders", "day_of_week_num")
+        .unionByName(peak(months, "month", "month_name", "total_revenue", "month_num"))
+        .unionByName(peak(hours, "hour", "hour", "total_orders", "hour"))
     )
 
 

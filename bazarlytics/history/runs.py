@@ -161,7 +161,10 @@ def time_by_layer(models: DataFrame, as_of: str | None = None, days: int = 7) ->
         _succeeded(models)
         .filter(_since("executed_at", days, as_of))
         .groupBy(model_layer().alias("model_layer"), "model_name")
-        .agg(F.sum("execution_time_seconds").alias("s"), F.count("execution_time_seconds").alias("n"))
+        .agg(
+            F.sum("execution_time_seconds").alias("s"),
+            F.count("execution_time_seconds").alias("n"),
+        )
     )
     return (
         per_model.groupBy("model_layer")

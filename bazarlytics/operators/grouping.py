@@ -59,7 +59,9 @@ def top(df: DataFrame, n: int, *order_by: Column | str) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
-def best_and_worst(df: DataFrame, n: int, best: Sequence[Column], worst: Sequence[Column]) -> DataFrame:
+def best_and_worst(
+    df: DataFrame, n: int, best: Sequence[Column], worst: Sequence[Column]
+) -> DataFrame:
     """The top n by one order followed by the top n by another; short inputs repeat rows."""
     return top(df, n, *best).withColumn("side", F.lit("best")).unionByName(
         top(df, n, *worst).withColumn("side", F.lit("worst"))

@@ -213,9 +213,8 @@ def review_profile(baskets: DataFrame, key: str, reviews: DataFrame) -> DataFram
     A review id is counted once per key however many lines or orders it comes with; the
     average score and the average wait weigh each review by the lines it is joined to.
     """
-    wait = (
-        F.col("days_delivery_to_review") if "days_delivery_to_review" in reviews.columns else F.lit(None)
-    ).cast("long")
+    waits = "days_delivery_to_review"
+    wait = (F.col(waits) if waits in reviews.columns else F.lit(None)).cast("long")
     slim = reviews.select(
         "order_id", "review_id", "review_score", "has_comment", "review_sentiment",
         wait.alias("wait"),

@@ -85,6 +85,14 @@ class Warehouse:
                 self[name]
         return dict(self.seconds)
 
+    def publish(self, database: str = "default") -> None:
+        """Enter the stored tables in the session's catalog, over the files already written."""
+        for name in self._stored:
+            table = f"{database}.{name}"
+            self.spark.catalog.createTable(table, path=f"{self.path}/{name}", source="parquet")
+            if name in PARTITION_BY:
+                self.spark.catalog.recoverPartitions(table)
+
     def register_views(self) -> None:
         for name, table in self._stored.items():
             table.createOrReplaceTempView(name)
@@ -105,7 +113,10 @@ def _staging(name: str) -> Callable[[Warehouse], DataFrame]:
 
 
 def _context(w: Warehouse) -> DataFrame:
-    return inter.order_context(w["stg_orders"], w["stg_customers"])
+    """Orders with their customer's place, joined once and stored for the three line facts."""
+    return w.stored(
+        "order_context", lambda w: inter.order_context(w["stg_orders"], w["stg_customers"])
+    )
 
 
 MODELS: dict[str, Callable[[Warehouse], DataFrame]] = {

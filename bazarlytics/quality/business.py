@@ -135,9 +135,8 @@ def product_categories(t: Tables) -> DataFrame:
 
     def named(table: str, name: str) -> DataFrame:
         category = F.col("product_category_name")
-        return (
-            t[table].filter(category.isNotNull()).select("product_id", category.alias(name)).distinct()
-        )
+        known = t[table].filter(category.isNotNull())
+        return known.select("product_id", category.alias(name)).distinct()
 
     both = named("fct_order_items", "fact_category").join(
         named("dim_products", "dim_category"), "product_id", "full"

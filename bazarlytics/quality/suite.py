@@ -235,7 +235,9 @@ EXPRESSIONS = [
     ("dim_date", "date_key_format", "date_key = year * 10000 + month_number * 100 + day_of_month"),
     ("mart_executive_dashboard", "revenue_not_negative", "total_revenue >= 0"),
 ]
-TEXT_COLUMNS = [("stg_orders", "order_id"), ("stg_orders", "customer_id"), ("stg_reviews", "review_id")]
+TEXT_COLUMNS = [
+    ("stg_orders", "order_id"), ("stg_orders", "customer_id"), ("stg_reviews", "review_id"),
+]
 # (source, column, days until a warning, days until an error)
 FRESHNESS = [
     ("orders", "order_purchase_timestamp", 365, 730),

@@ -10,7 +10,7 @@ import re
 
 from bazarlytics.functions import values as v
 from bazarlytics.sources.retail import CATEGORY_ENGLISH, NATION_STATES
-from oracle.sql import day, ladder, listing, mapping, membership, moment, num, pct, per, quote, whole
+from oracle.sql import day, ladder, mapping, membership, moment, num, pct, per, quote
 
 _STATE = "[" + ", ".join(quote(s) for s in NATION_STATES) + "]"
 

@@ -86,5 +86,10 @@ def test_build_from_csv(spark, csv_folder, tmp_path):
     assert set(stored) == set(seconds) and stored["fct_orders"].count() == 2
     with pytest.raises(KeyError):
         stored["int_orders_enriched"]
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop_test")
+    w.publish("shop_test")
+    assert spark.sql("SELECT sum(item_count) AS n FROM shop_test.fct_orders WHERE order_month = '2018-03-01'").first().n == 2
+    assert "mart_seller_scorecard" in files.list_tables(spark, "shop_test")
+    spark.sql("DROP DATABASE shop_test CASCADE")
     w.register_views()
     assert spark.sql("SELECT sum(total_order_value) AS v FROM fct_orders").first().v == 220
