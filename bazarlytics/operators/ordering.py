@@ -72,47 +72,53 @@ def number_rows_within(
     )
 
 
-def bucket_bounds(df: DataFrame, value: str, tie: str, buckets: int) -> DataFrame:
-    """One row with the last (value, tie) pair of every ntile bucket but the final one.
+def _exact(value: Column | str) -> Column:
+    """Counts and money in one exact type, so that several measures share a sort."""
+    return (F.col(value) if isinstance(value, str) else value).cast("decimal(38,6)")
 
-    With N = q * buckets + m, bucket i ends at row i * q + min(i, m). At most
-    ``buckets - 1`` pairs come back, so any frame can be bucketed against them without
-    being sorted or joined itself.
+
+def bucket_bounds(df: DataFrame, specs: Mapping[str, str], tie: str, buckets: int) -> DataFrame:
+    """One row: for each measure the last (value, tie) pair of every bucket but the final one.
+
+    All measures are numbered in one sort by (measure, value, tie). With N = q * buckets + m
+    known values, bucket i of a measure ends at its row i * q + min(i, m). At most
+    ``buckets - 1`` pairs per measure come back, so any frame can be bucketed against them
+    without being sorted or joined itself.
     """
-    numbered = number_rows(
-        df.select(F.col(value).alias("_v"), F.col(tie).alias("_t")), ["_v", "_t"], "_n"
+    measures = F.array(
+        *[F.struct(F.lit(name).alias("_m"), _exact(v).alias("_v")) for name, v in specs.items()]
     )
+    known = df.select(F.col(tie).alias("_t"), F.inline(measures)).filter("_v IS NOT NULL")
+    numbered = number_rows(known, ["_m", "_v", "_t"], "_n")
+    i, total = F.col("_i"), F.col("_total")
     ends = (
-        numbered.agg(F.count("*").alias("_total"))
+        numbered.groupBy("_m")
+        .agg(F.min("_n").alias("_first"), F.count("*").alias("_total"))
         .withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(buckets - 1))))
         .select(
-            "_i",
-            (
-                F.col("_i") * F.floor(F.col("_total") / buckets)
-                + F.least(F.col("_i"), F.col("_total") % buckets)
-            ).alias("_n"),
+            (F.col("_first") - 1 + i * F.floor(total / buckets) + F.least(i, total % buckets)).alias(
+                "_n"
+            )
         )
     )
-    return (
+    pairs = (
         numbered.join(F.broadcast(ends), "_n")
-        .agg(F.collect_list(F.struct("_v", "_t")).alias("bounds"))
-        .select("bounds")
+        .groupBy("_m")
+        .agg(F.collect_list(F.struct("_v", "_t")).alias("_pairs"))
     )
+    return pairs.agg(F.map_from_entries(F.collect_list(F.struct("_m", "_pairs"))).alias("bounds"))
 
 
 def with_ntiles(
     df: DataFrame, specs: Mapping[str, str], tie: str, buckets: int = 5
 ) -> DataFrame:
     """Add ntile columns, ``{new column: value column}``; rows with a NULL value get NULL."""
-    out = df
-    for name, value in specs.items():
-        known = df.filter(F.col(value).isNotNull())
-        out = out.withColumn(f"_bounds_{name}", bucket_bounds(known, value, tie, buckets).scalar())
+    out = df.withColumn("_bounds", bucket_bounds(df, specs, tie, buckets).scalar())
     for name, value in specs.items():
-        here = F.struct(F.col(value).alias("_v"), F.col(tie).alias("_t"))
-        passed = F.size(F.filter(F.col(f"_bounds_{name}"), lambda b: b < here))
+        here = F.struct(_exact(value).alias("_v"), F.col(tie).alias("_t"))
+        passed = F.size(F.filter(F.col("_bounds")[name], lambda b: b < here))
         out = out.withColumn(name, F.when(F.col(value).isNotNull(), passed + 1))
-    return out.drop(*[f"_bounds_{name}" for name in specs])
+    return out.drop("_bounds")
 
 
 def _cumulative_counts(df: DataFrame, value: Column) -> DataFrame:
