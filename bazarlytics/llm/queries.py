@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bazarlytics.llm import packing, wavelet
 from bazarlytics.llm.common import prepared
 from bazarlytics.llm.simhash import simhash_groups
+from bazarlytics.llm.tokens import default_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,8 +21,24 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(_table(spark, folder, "documents"))
 
 
+def wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = wavelet.write_shards(_table(spark, folder, "documents"), default_path("word_bpe_49k.json"))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return wavelet.read_shards(files).select(
+        "doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, folder, "documents"), default_path("byte_bpe_50k.json"))
+    rows = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
+    "op2_wavelet_token_files": wavelet_token_files,
+    "op9_sum_of_squares_packing": sum_of_squares_packing,
 }
 
 SQL: dict[str, str] = {}
