@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlytics.llm import packing, wavelet
-from bazarlytics.llm.common import prepared
+from bazarlytics.llm import language, packing, toxicity, wavelet
+from bazarlytics.llm.common import crc32_mod, prepared
 from bazarlytics.llm.simhash import simhash_groups
 from bazarlytics.llm.tokens import default_path
 
@@ -29,6 +29,27 @@ def wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    third = crc32_mod(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, labels.where(third != 1))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (third == 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    quarter = crc32_mod(F.col("doc_id"), 4)
+    model = language.fit(docs.where(quarter != 2))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (quarter == 2).alias("held_out"), "lang_pred", "score")
+
+
 def sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.pieces(_table(spark, folder, "documents"), default_path("byte_bpe_50k.json"))
     rows = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -38,6 +59,8 @@ def sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_wavelet_token_files": wavelet_token_files,
+    "op3_counterfactual_toxicity": counterfactual_toxicity,
+    "op5_viterbi_language": viterbi_language,
     "op9_sum_of_squares_packing": sum_of_squares_packing,
 }
 
