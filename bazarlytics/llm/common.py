@@ -33,6 +33,12 @@ def crc32_mod(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row. As a generated column it is not copied into
+    later expressions, where a copy inside a lambda would be computed for every element."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def utf8(text: Column) -> Column:
     """Text as bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

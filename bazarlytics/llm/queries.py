@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlytics.llm import language, packing, toxicity, wavelet
+from bazarlytics.llm import language, licenses, packing, secrets, toxicity, wavelet
 from bazarlytics.llm.common import crc32_mod, prepared
 from bazarlytics.llm.simhash import simhash_groups
 from bazarlytics.llm.tokens import default_path
@@ -50,6 +50,27 @@ def viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (quarter == 2).alias("held_out"), "lang_pred", "score")
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.match(_table(spark, folder, "documents"), licenses.default_templates(spark))
+
+
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.pieces(_table(spark, folder, "documents"), default_path("byte_bpe_50k.json"))
     rows = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -61,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet_token_files": wavelet_token_files,
     "op3_counterfactual_toxicity": counterfactual_toxicity,
     "op5_viterbi_language": viterbi_language,
+    "op6_license_scan": license_scan,
+    "op7_secret_scan": secret_scan,
     "op9_sum_of_squares_packing": sum_of_squares_packing,
 }
 
