@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bazarlytics.llm import language, licenses, packing, secrets, toxicity, wavelet
 from bazarlytics.llm.common import crc32_mod, prepared
+from bazarlytics.llm.embeddings import near_vectors
 from bazarlytics.llm.simhash import simhash_groups
 from bazarlytics.llm.tokens import default_path
 
@@ -71,6 +72,10 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def metric_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     cut = packing.pieces(_table(spark, folder, "documents"), default_path("byte_bpe_50k.json"))
     rows = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_viterbi_language": viterbi_language,
     "op6_license_scan": license_scan,
     "op7_secret_scan": secret_scan,
+    "op8_metric_near_dedup": metric_near_dedup,
     "op9_sum_of_squares_packing": sum_of_squares_packing,
 }
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazarlytics.llm.blocks import LEFT, OWN, PARTNER, deal, grouped, whole_blocks
+from bazarlytics.llm.blocks import OWN, PARTNER, deal, grouped, whole_blocks
 from bazarlytics.llm.common import batch, store, utf8
 from bazarlytics.llm.graph import connected_components, forest
 
