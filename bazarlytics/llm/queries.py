@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bazarlytics.llm import language, licenses, packing, secrets, toxicity, wavelet
 from bazarlytics.llm.common import crc32_mod, prepared
 from bazarlytics.llm.embeddings import near_vectors
+from bazarlytics.llm.sharding import even_shards
 from bazarlytics.llm.simhash import simhash_groups
 from bazarlytics.llm.tokens import default_path
 
@@ -82,6 +83,10 @@ def sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.place(rows)
 
 
+def balanced_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    return even_shards(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_wavelet_token_files": wavelet_token_files,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": secret_scan,
     "op8_metric_near_dedup": metric_near_dedup,
     "op9_sum_of_squares_packing": sum_of_squares_packing,
+    "op10_balanced_label_propagation": balanced_label_propagation,
 }
 
 SQL: dict[str, str] = {}
