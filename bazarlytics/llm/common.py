@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +16,20 @@ from pyspark.sql import functions as F
 from bazarlytics.session import RUNTIME_CONF, scratch_path
 
 
+_shipped: set[str] = set()
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Set what the operators rely on: UTC, adaptive plans and split skewed joins."""
+    """Set what the operators rely on: UTC, adaptive plans, split skewed joins, and this package
+    on the workers' path."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[2]
+    if app not in _shipped and str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/bazarlytics", "zip", root, "bazarlytics")
+        spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
     return spark
 
 

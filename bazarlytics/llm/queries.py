@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlytics.llm import language, licenses, packing, secrets, toxicity, wavelet
+from bazarlytics.llm import decontaminate, language, licenses, packing, secrets, toxicity, wavelet
 from bazarlytics.llm.common import crc32_mod, prepared
 from bazarlytics.llm.embeddings import near_vectors
 from bazarlytics.llm.sharding import even_shards
@@ -44,6 +44,10 @@ def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     quarter = crc32_mod(F.col("doc_id"), 4)
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_wavelet_token_files": wavelet_token_files,
     "op3_counterfactual_toxicity": counterfactual_toxicity,
+    "op4_latent_decontamination": latent_decontamination,
     "op5_viterbi_language": viterbi_language,
     "op6_license_scan": license_scan,
     "op7_secret_scan": secret_scan,
