@@ -41,6 +41,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it until no column has it; names ignore case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def crc32_mod(column: Column, modulus: int) -> Column:
     """The unsigned CRC-32 of a value's text, modulo a number."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

@@ -292,4 +292,4 @@ def _blocks(items: DataFrame, size: int) -> Iterator[DataFrame]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no benchmark item is found, all columns as they were."""
     hit = store(find(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(hit.withColumnRenamed("doc_id", "_hit"), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazarlytics.llm.common import fresh
+
 # The rules. Kinds count in this order. A match whose measured part is shorter
 # than its least length is dropped after matching, so it still uses up its characters.
 KINDS = ("assign", "access", "hex", "markov")
@@ -127,20 +129,22 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), begin, step, lambda s: s["sum"])
 
 
-def scan(docs: DataFrame, table: list[float], least_ratio: float = 12.0) -> DataFrame:
-    """All columns, `base` (spans of the rules) and `spans` (those and the model's), as arrays
-    of start, kind (a place in KINDS) and end, which is exclusive, in characters.
+def scan(
+    docs: DataFrame, table: list[float], least_ratio: float = 12.0, base_name: str = "base", spans_name: str = "spans"
+) -> DataFrame:
+    """All columns, base (spans of the rules) and spans (those and the model's), as arrays of
+    start, kind (a place in KINDS) and end, which is exclusive, in characters.
 
     A null text counts as empty and has no spans. Repeated rows stay, each with its spans.
     A token that overlaps a rule's span is not added.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    based = docs.withColumn("base", base_spans(text))
-    base = F.col("base")
+    based = docs.withColumn(base_name, base_spans(text))
+    base = F.col(base_name)
     likely = F.filter(
         token_spans(text), lambda t: ~_overlaps(t, base) & (ratio(_cut(text, t), table) >= least_ratio)
     )
-    return based.withColumn("spans", F.array_sort(F.concat(base, likely)))
+    return based.withColumn(spans_name, F.array_sort(F.concat(base, likely)))
 
 
 def listed(spans: Column) -> Column:
@@ -166,10 +170,10 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """The documents with their secrets masked and n_chars counted anew where they changed."""
-    found = scan(docs, fit(docs, **options))
-    hidden = masked(F.col("text"), F.col("spans"))
-    changed = found.withColumn("text", hidden)
+    base, spans = fresh("base", docs.columns), fresh("spans", docs.columns)
+    found = scan(docs, fit(docs, **options), base_name=base, spans_name=spans)
+    changed = found.withColumn("text", masked(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
-        n = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        n = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         changed = changed.withColumn("n_chars", n)
     return changed.select(*docs.columns)

@@ -249,7 +249,17 @@ def simhash_groups(docs: DataFrame, size: int = 4, threshold: int = 4) -> DataFr
 
 
 def deduplicate(docs: DataFrame, size: int = 4, threshold: int = 4) -> DataFrame:
-    """The documents whose id is the smallest of their group, all columns as they were."""
-    groups = near_groups(fingerprints(docs, size), threshold)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents whose id is the smallest of their group, all columns as they were.
+
+    Of rows that repeat an id one stays. Rows without an id cannot be told apart; they count
+    as one document, which stays if no group of theirs has a row with an id.
+    """
+    groups = store(near_groups(fingerprints(docs, size), threshold), "near-duplicate-groups")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = store(kept, "kept-documents")
+    one, more = kept.where("n = 1"), kept.where("n > 1")
+    single = docs.join(one, docs["doc_id"].eqNullSafe(one["doc_id"]), "left_semi")
+    if more.isEmpty():
+        return single
+    repeated = docs.join(more, docs["doc_id"].eqNullSafe(more["doc_id"]), "left_semi")
+    return single.union(repeated.dropDuplicates(["doc_id"]))

@@ -147,13 +147,14 @@ def train(
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, width: int = 3000, least: int = 3, pairs: int = 20_000, **options
-) -> Model:
+    docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, width: int = 3000, least: int = 3, least_gain: float = 5.0,
+    pairs: int = 20_000, **options,
+) -> Model:
     """Fit on at most `fit_rows` labelled documents, in the order of a hash of the id, `width`
     features and `pairs` swapped sentences, which bounds what the driver holds.
 
     Null labels do not count; of several labels of a document the largest holds. A feature
-    needs `least` documents. Without labels every text scores zero.
+    needs `least` documents and that gain in log likelihood. Without labels every text scores zero.
     """
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -190,7 +191,7 @@ def fit(
         part(seen, of * total / max(n, 1))
         for seen, of, total in ((a, k, n1), (k - a, k, n - n1), (n1 - a, n - k, n1), (n - n1 - k + a, n - k, n - n1))
     )
-    best = counts.where(F.col("k") >= least).select("f", ratio.alias("g")).where("g > 10")
+    best = counts.where(F.col("k") >= least).select("f", ratio.alias("g")).where(F.col("g") > least_gain)
     wanted = {r.f for r in best.orderBy(F.desc("g"), "f").limit(width).collect()}
     wanted |= {f for line in IDENTITY_TERMS for term in line for f in word_features(term)}
     keep = F.array(*map(F.lit, sorted(wanted)))
@@ -204,8 +205,8 @@ def fit(
     )
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns and a last one, toxicity: the probability of the toxic label from the text
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """All columns and a last one, `name`: the probability of the toxic label from the text
     alone. A null text scores as an empty one; texts are used whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,4 +219,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))] + ["toxicity"]
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(names, docs.schema)) + ", toxicity double"
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), utf8(F.col("text")).alias("bytes"))
-    return rows.mapInArrow(run, schema).toDF(*docs.columns, "toxicity")
+    return rows.mapInArrow(run, schema).toDF(*docs.columns, name)
