@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazarlytics.llm.common import batch, store, utf8
-from bazarlytics.llm.tokens import Encoder
+from bazarlytics.llm.tokens import encoder
 
 GROUP = 30_000  # pieces that one task packs
 
@@ -32,10 +32,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = [], [], [], [], []
-            found = encoder.encode([t.as_py().decode("utf-8", "replace") for t in b.column(1)])
+            found = encode([t.as_py().decode("utf-8", "replace") for t in b.column(1)])
             for key, ids in zip(b.column(0).to_pylist(), found):
                 ids += end
                 n = len(ids) // 4

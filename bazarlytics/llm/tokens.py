@@ -1,9 +1,10 @@
 """Token ids of whole texts with a tokenizers file, quick where words repeat.
 
 Both supported kinds of tokenizer cut a text into words by a pattern and then encode each
-word by itself, so a word's ids are looked up once and kept. The kept words are bounded in
-number. A text with characters beyond Latin letters and common punctuation, for which the
-pattern here could cut otherwise, is encoded by the library as a whole, as is every text
+word by itself. A word takes at most one space before it, so where no white space follows a
+space, the chunks between spaces can be encoded by themselves. A chunk's ids are looked up
+once and kept, as are its words'; what is kept is bounded in number. A text with characters beyond Latin letters and common punctuation, for which the
+pattern here could cut otherwise, or with wider spaces, is encoded by the library as a whole, as is every text
 under a tokenizer of another kind.
 """
 
@@ -12,7 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,6 +24,7 @@ import numpy as np
 _L = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = r"\t-\r \x85\xa0"
+_WIDE = re.compile(r" \s")
 _ODD = re.compile("[^\\t-\\r\\x20-\\x7e\\xa0-ɏ‐-‧€]")
 
 # The word patterns of the two tokenizer kinds, over those sets.
@@ -27,6 +32,12 @@ _BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|
 _LOWER_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"
 _LOWER_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# A byte as the character that stands for it in the vocabularies: visible Latin-1 characters
+# stand for themselves, the other bytes take the next code points from 256 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPACE = "\u0120"
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
 
 def default_path(name: str) -> str:
     """Where the installed vocabulary files have a file."""
@@ -38,13 +49,13 @@ def default_path(name: str) -> str:
 class Encoder:
     """Encodes texts to unsigned 32-bit little-endian ids; a text's special strings are text."""
 
-    def __init__(self, path: str, kept_words: int = 400_000):
+    def __init__(self, path: str, kept: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept_words, self.kept = kept_words, {}
+        self.kept, self.known_words, self.first, self.rest = kept, {}, {}, {}
         self.words, self.lower = self._pattern(json.loads(self.tokenizer.to_str()))
 
     @staticmethod
@@ -60,21 +71,23 @@ class Encoder:
                 return re.compile(_LOWER_WORDS), True
         return None, False
 
-    def _cut(self, text: str) -> list[str] | None:
-        if self.words is None or _ODD.search(text):
-            return None
-        if self.lower:
-            if not unicodedata.is_normalized("NFC", text):
-                return None
-            text = text.lower()
-        return self.words.findall(text)
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4
-        ends = ends.tolist()
-        self.kept.update((w, ids[ends[i] : ends[i + 1]]) for i, w in enumerate(words))
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, straight from the library's word model."""
+        shown = word.replace(" ", _SPACE)
+        if not (word.isascii() and word.isprintable()):
+            shown = word.encode().decode("latin-1").translate(_BYTES)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        found = ids.tobytes()
+        if len(self.known_words) < self.kept:
+            self.known_words[word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk: those of its words one after another."""
+        get = self.known_words.get
+        return b"".join([get(w) or self._word(w) for w in self.words.findall(chunk)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, at, total = [], 0, 0
@@ -85,18 +98,38 @@ class Encoder:
                 at, total = i + 1, 0
         return out
 
+    def _plain(self, text: str) -> bool:
+        """Whether the text can be cut at its spaces."""
+        if self.words is None or _ODD.search(text):
+            return False
+        return unicodedata.is_normalized("NFC", text) if self.lower else not _WIDE.search(text)
+
+    def _know(self, chunks: list[list[str]], kept: dict[str, bytes], before: str) -> list[str]:
+        """Look up all chunks; returns those for which there was no room, to be dropped again."""
+        fresh = list(set().union(*chunks).difference(kept))
+        room = max(0, self.kept - len(kept))
+        kept.update([(c, self._chunk(before + c)) for c in fresh])
+        return fresh[room:]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        fresh = list({w for words in cut if words for w in words if w not in self.kept})
-        if len(self.kept) + len(fresh) > self.kept_words:
-            self.kept.clear()
-            fresh = list({w for words in cut if words for w in words})
-        for at in range(0, len(fresh), 50_000):
-            self._learn(fresh[at : at + 50_000])
-        get = self.kept.__getitem__
-        return [
+        cut = [(t.lower() if self.lower else t).split(" ") if self._plain(t) else None for t in texts]
+        plain = [c for c in cut if c is not None]
+        over = self._know([[c[0]] for c in plain], self.first, ""), self._know([c[1:] for c in plain], self.rest, " ")
+        first, rest = self.first, self.rest.__getitem__
+        out = [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            if words is None
-            else b"".join(map(get, words))
-            for t, words in zip(texts, cut)
+            if chunks is None
+            else first[chunks[0]] + b"".join(map(rest, chunks[1:]))
+            for t, chunks in zip(texts, cut)
         ]
+        for chunks, kept in zip(over, (self.first, self.rest)):
+            for chunk in chunks:
+                del kept[chunk]
+        return out
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept with its chunks while the process lives: a worker process
+    serves many tasks."""
+    return Encoder(path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazarlytics.llm.common import batch, store, utf8
-from bazarlytics.llm.tokens import Encoder
+from bazarlytics.llm.tokens import encoder
 from bazarlytics.session import scratch_path
 
 MAGIC = b"WAVELET1"
@@ -46,14 +46,15 @@ def pack(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
     ids = ids.astype(np.uint32)
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     body, planes = [], []
+    kind = np.uint16 if levels <= 16 else np.uint32
 
     def put(data: bytes) -> int:
         body.append(press(data))
         return len(body[-1])
 
-    now = ids
+    now = ids.astype(kind)
     for level in range(levels):
-        bits = (now >> np.uint32(levels - 1 - level)) & np.uint32(1) == 1
+        bits = now & kind(1 << (levels - 1 - level)) != 0
         packed = np.packbits(bits, bitorder="little")
         ones = [int(np.count_nonzero(bits[at : at + CHUNK])) for at in range(0, len(bits), CHUNK)]
         sizes = [put(packed[at : at + CHUNK // 8].tobytes()) for at in range(0, len(packed), CHUNK // 8)]
@@ -149,7 +150,8 @@ class Shard:
 
     def all_ids(self) -> np.ndarray:
         """Every id of the shard in order, by undoing the planes from the lowest."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             parts = []
             for at, size in self.places[level]:
@@ -158,7 +160,7 @@ class Shard:
             bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8), bitorder="little")[: self.n] == 1
             above = np.empty_like(values)
             above[~bits] = values[: self.zeros[level]]
-            above[bits] = values[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            above[bits] = values[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             values = above
         return values
 
@@ -179,7 +181,7 @@ def write_shards(
     folder = (folder or scratch_path(spark, "wavelet")).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         part, number = TaskContext.get().partitionId(), 0
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
@@ -199,7 +201,7 @@ def write_shards(
         for b in batches:
             keys = b.column(0).to_pylist()
             texts = [t.as_py().decode("utf-8", "replace") for t in b.column(1)]
-            for key, found in zip(keys, encoder.encode(texts)):
+            for key, found in zip(keys, encode(texts)):
                 ids.append(found + end)
                 doc_ids.append(key)
                 lengths.append(len(found) // 4 + 1)

@@ -20,7 +20,7 @@ def test_encoder_equals_the_library(name, documents):
     plain.encode_special_tokens = True
     texts = [r.text or "" for r in documents.select("text").collect()]
     texts += ["", "It's they're I'LL 3½ x²", "<|endoftext|>", "a\n\n b  \n", "naïve café", "ΣΑΣ ς", "a\x1cb\x85c"]
-    got = Encoder(default_path(name), kept_words=3000).encode(texts)
+    got = Encoder(default_path(name), kept=3000).encode(texts)
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
