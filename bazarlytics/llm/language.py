@@ -13,6 +13,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,16 +78,21 @@ class Model:
     shares: dict[str, np.ndarray]
     unseen: np.ndarray
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Mean-free scores per language; zero everywhere if no language has its scripts."""
-        fits = (self.script_bits & scripts(word)) != 0
-        if not fits.any():
-            return np.zeros(len(self.languages))
-        get, total = self.shares.get, np.zeros(len(self.languages))
-        for g in grams(word):
-            total += get(g, self.unseen)
-        total -= total[fits].max()
-        return np.where(fits, total, OUT)
+    def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores per word and language, the best being zero, and whether a word has the
+        scripts of any language; without one its scores are zero everywhere."""
+        if not hasattr(self, "table"):
+            self.place = {g: i for i, g in enumerate(self.shares, 1)}
+            self.table = np.array([self.unseen, *self.shares.values()], np.float32)
+        get = self.place.get
+        found = [[get(g, 0) for g in grams(w)] for w in words]
+        starts = np.cumsum([0, *map(len, found)])[:-1]
+        flat = np.fromiter((i for f in found for i in f), np.int64)
+        total = np.add.reduceat(self.table[flat], starts, axis=0)
+        fits = (self.script_bits[None, :] & np.fromiter(map(scripts, words), np.int64, len(words))[:, None]) != 0
+        total -= np.where(fits, total, -np.inf).max(1, keepdims=True, initial=-1e9)
+        known = fits.any(1)
+        return np.where(known[:, None], np.where(fits, total, OUT), 0.0).astype(np.float32), known
 
 
 def fit(
@@ -204,36 +210,40 @@ def best_path(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nda
 
 
 class Labeller:
-    """Labels words, with the scores of words seen before kept up to a bound."""
+    """Labels words; what is known of words seen before is kept up to a bound."""
 
     def __init__(self, model: Model, penalty: float, kept_words: int = 300_000):
         self.model, self.penalty, self.kept_words = model, penalty, kept_words
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(1, len(model.languages))), np.float32)
-
-    def _add(self, words: list[str]) -> None:
-        n = len(self.place)
-        while n + len(words) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for i, word in enumerate(words, n):
-            self.rows[i] = self.model.word_scores(word)
-            self.place[word] = i
-
-    def label(self, docs: list[list[str]]) -> list[np.ndarray]:
-        """Labels of the words of every document."""
-        fresh = list({w for words in docs for w in words if w not in self.place})
-        if len(self.place) + len(fresh) > self.kept_words:
-            self.place.clear()
-            fresh = list({w for words in docs for w in words})
-        self._add(fresh)
-        get = self.place.__getitem__
+        self.scores = np.zeros((0, max(1, len(model.languages))), np.float32)
+        self.known = np.zeros(0, bool)
+
+    def _learn(self, words: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The kept scores and flags with those of more words after them."""
+        scores, known = [self.scores], [self.known]
+        for at in range(0, len(words) if self.model.languages else 0, 20_000):
+            some, sure = self.model.score_words(words[at : at + 20_000])
+            scores.append(some)
+            known.append(sure)
+        place.update((w, i) for i, w in enumerate(words, len(self.known)))
+        if not self.model.languages:
+            scores.append(np.zeros((len(words), 1), np.float32))
+            known.append(np.zeros(len(words), bool))
+        return np.concatenate(scores), np.concatenate(known)
+
+    def label(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """For the words of all documents one after another: label, and whether it is sure."""
+        fresh = list(set().union(*docs).difference(self.place))
+        room = max(0, self.kept_words - len(self.place))
+        self.scores, self.known = self._learn(fresh[:room], self.place)
+        place, scores, known = self.place, self.scores, self.known
+        if fresh[room:]:  # no room left: for this call only
+            more: dict[str, int] = {}
+            scores, known = self._learn(fresh[room:], more)
+            place = {**more, **{w: self.place[w] for w in set().union(*docs) if w in self.place}}
         lengths = np.array([len(d) for d in docs], np.int64)
-        at = np.fromiter((get(w) for d in docs for w in d), np.int64, int(lengths.sum()))
-        path = best_path(self.rows[at], lengths, self.penalty)
-        return np.split(path, np.cumsum(lengths)[:-1]) if len(docs) else []
-
-    def known(self, word: str) -> bool:
-        return bool((self.model.script_bits & scripts(word)).any())
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(docs)), np.int64, int(lengths.sum()))
+        return best_path(scores[at], lengths, self.penalty), known[at]
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = False) -> DataFrame:
@@ -246,29 +256,28 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = model.languages
 
-    def rows_of(texts: list[str], labeller: Labeller) -> Iterator[tuple]:
+    def rows_of(texts: list[str], labeller: Labeller) -> tuple[list[str], list[float]]:
         docs_words = [words_of(t) for t in texts]
-        for text, words, path in zip(texts, docs_words, labeller.label(docs_words)):
-            known = np.fromiter((w.isascii() or labeller.known(w) for w in words), bool, len(words)) if names else np.zeros(len(words), bool)
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            letters = np.bincount(path[known], sizes[known], len(names)) if len(words) else np.zeros(len(names))
-            found = []
-            if spans:
-                places = [(m.start(), m.end()) for m in _LETTERS.finditer(text)]
-                if len(places) != len(words):  # composing joined or parted words: label those of the text
-                    (path,) = labeller.label([[m.lower() for m in _LETTERS.findall(text)]])
-                    known = np.ones(len(path), bool)
-                for (start, end), k, sure in zip(places, path.tolist(), known.tolist()):
-                    lang = names[k] if sure and names else UNKNOWN
-                    if found and found[-1]["lang"] == lang:
-                        found[-1]["end"] = end
-                    else:
-                        found.append({"start": start, "end": end, "lang": lang})
-            if not len(names) or not letters.any():
-                yield UNKNOWN, 0.0, found
+        path, known = labeller.label(docs_words)
+        sizes = np.fromiter(map(len, chain.from_iterable(docs_words)), np.int64, len(path))
+        doc = np.repeat(np.arange(len(texts)), [len(d) for d in docs_words])
+        width = max(1, len(names))
+        letters = np.bincount(doc * width + path, sizes * known, len(texts) * width).reshape(-1, width)
+        total = np.maximum(1, np.bincount(doc, sizes, len(texts)))
+        best, most = letters.argmax(1), letters.max(1)
+        return [names[k] if m else UNKNOWN for k, m in zip(best.tolist(), most.tolist())], (most / total).tolist()
+
+    def spans_of(text: str, labeller: Labeller) -> list[dict]:
+        words = list(_LETTERS.finditer(text))
+        path, known = labeller.label([[m[0].lower() for m in words]])
+        found: list[dict] = []
+        for word, k, sure in zip(words, path.tolist(), known.tolist()):
+            lang = names[k] if sure else UNKNOWN
+            if found and found[-1]["lang"] == lang:
+                found[-1]["end"] = word.end()
             else:
-                best = int(letters.argmax())
-                yield names[best], float(letters[best] / sizes.sum()), found
+                found.append({"start": word.start(), "end": word.end(), "lang": lang})
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, penalty)
@@ -276,11 +285,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
             texts = [t.as_py().decode("utf-8", "replace") for t in b.column(1)]
             most = max(20_000, 40_000_000 // max(1, len(names)) ** 2)
             for low, high in slices(np.fromiter(map(len, texts), np.int64, len(texts)), min(most, 2_000_000)):
-                lang, score, found = zip(*rows_of(texts[low:high], labeller))
-                columns = {"doc_id": b.column(0).slice(low, high - low), "lang_pred": list(lang), "score": list(score)}
+                lang, score = rows_of(texts[low:high], labeller)
+                columns = {"doc_id": b.column(0).slice(low, high - low), "lang_pred": lang, "score": score}
                 if spans:
                     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                    columns["spans"] = pa.array(list(found), kind)
+                    columns["spans"] = pa.array([spans_of(t, labeller) for t in texts[low:high]], kind)
                 yield batch(**columns)
 
     schema = f"doc_id {id_type}, lang_pred string, score double"
