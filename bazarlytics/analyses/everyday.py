@@ -20,14 +20,14 @@ def revenue_by_month(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def top_sold_categories(items_enriched: DataFrame, n: int = 10) -> DataFrame:
+def top_sold_categories(items: DataFrame, n: int = 10) -> DataFrame:
     category = "product_category_name_english"
     grouped = (
-        items_enriched.filter(F.col(category).isNotNull())
+        items.filter(F.col(category).isNotNull())
         .groupBy(F.col(category).alias("category"))
         .agg(
             F.countDistinct("order_id").alias("orders"),
-            F.round(F.sum("price"), 2).alias("revenue"),
+            F.round(F.sum("item_price"), 2).alias("revenue"),
         )
     )
     return top(grouped, n, F.desc("revenue"), "category")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,10 +190,11 @@ def cohort_retention(
     )
 
 
-def cohort_matrix(
-    orders: DataFrame, months: int, start: str | None = None, end: str | None = None
-) -> DataFrame:
-    """Wide retention matrix with columns month_0 .. month_{months - 1}."""
+def cohort_matrix(orders: DataFrame, start: str, end: str) -> DataFrame:
+    """Wide retention matrix with a column month_0, month_1, ... for every month offset that
+    the period allows; an offset that no cohort reaches is zero for all."""
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    months = max(0, 12 * (last.year - first.year) + last.month - first.month) + 1
     wide = (
         cohort_activity(orders, start, end)
         .groupBy("cohort_month")

@@ -31,10 +31,11 @@ def _moment(text: Column | str) -> Column:
 
 
 def run_summary(run_results: DataFrame) -> DataFrame:
-    """One row per run; it succeeded when every result did."""
+    """One row per run; it succeeded when every result did, also when it has none."""
 
     def of_kind(prefix: str) -> Column:
-        return F.size(F.filter("results", lambda r: r["unique_id"].startswith(prefix)))
+        found = F.size(F.filter("results", lambda r: r["unique_id"].startswith(prefix)))
+        return F.when(F.col("results").isNull(), 0).otherwise(found)
 
     ended = _moment(F.col("metadata.generated_at"))
     return run_results.select(
@@ -42,7 +43,9 @@ def run_summary(run_results: DataFrame) -> DataFrame:
         ended.alias("run_started_at"),
         ended.alias("run_completed_at"),
         _known("args.which").alias("dbt_command"),
-        F.forall("results", lambda r: r["status"].isin("success", "pass")).alias("success"),
+        F.coalesce(
+            F.forall("results", lambda r: r["status"].isin("success", "pass")), F.lit(True)
+        ).alias("success"),
         of_kind("model.").alias("total_models"),
         of_kind("test.").alias("total_tests"),
         F.coalesce("elapsed_time", F.lit(0.0)).alias("total_runtime_seconds"),
@@ -81,12 +84,23 @@ def model_executions(run_results: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def log_run(spark: SparkSession, run_path: str, manifest_path: str, folder: str) -> None:
-    """Append one run's summary and model executions to the history tables."""
+    """Append one run's model executions and then its summary to the history tables.
+
+    The summary completes the run: read_history() leaves out executions without one, so what
+    a failure leaves between the two writes is never seen.
+    """
     results = read_run_results(spark, run_path)
-    append_table(run_summary(results), f"{folder}/{RUN_TABLE}")
     append_table(
         model_executions(results, read_manifest(spark, manifest_path)), f"{folder}/{MODEL_TABLE}"
     )
+    append_table(run_summary(results), f"{folder}/{RUN_TABLE}")
+
+
+def read_history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The logged runs, and the model executions of those runs."""
+    logged = spark.read.parquet(f"{folder}/{RUN_TABLE}")
+    models = spark.read.parquet(f"{folder}/{MODEL_TABLE}")
+    return logged, models.join(logged.select("invocation_id").distinct(), "invocation_id", "left_semi")
 
 
 def _since(moment: str, days: int, as_of: str | None) -> Column:

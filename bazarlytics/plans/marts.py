@@ -309,9 +309,9 @@ def mart_executive_dashboard(
     The windows run over one row per calendar day, which bounds their single partition.
     """
     daily = _daily_orders(orders, items, payments, reviews, fanout_safe)
-    supply = items.groupBy(F.col("order_date_key").alias("date_key")).agg(
-        F.countDistinct("seller_id").alias("unique_sellers"),
-        F.countDistinct("product_id").alias("unique_products"),
+    sold = items.groupBy(F.col("order_date_key").alias("date_key"), "seller_id", "product_id").count()
+    supply = _distinct_per_day(sold, "seller_id", "unique_sellers").join(
+        _distinct_per_day(sold, "product_id", "unique_products"), "date_key", "full"
     )
     voices = (
         reviews.groupBy(F.col("order_date_key").alias("date_key"), "review_id")
@@ -540,16 +540,21 @@ def seller_health() -> Column:
     )
 
 
+def _distinct_per_day(sold: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct keys per day, counted in two steps."""
+    return sold.groupBy("date_key", key).count().groupBy("date_key").agg(F.count(key).alias(name))
+
+
 def mart_seller_scorecard(sellers: DataFrame, geography: DataFrame, items: DataFrame) -> DataFrame:
     """Seller sales, reach, recent activity, percentile rank and weighted score."""
     newest = items.agg(F.max("order_purchase_timestamp")).scalar()
     baskets = _baskets(items, "seller_id").withColumns(
         {"age": day_gap("bought", newest), "month": month_start("bought")}
     )
-    n, total = F.sum("price_n"), F.sum("price_sum").cast("double")
-    squares = F.sum("price_squares").cast("double")
-    variance = F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))
-    spread = F.when(n > 1, F.sqrt(variance))
+    n, total = F.sum("price_n"), F.sum("price_sum").cast("decimal(18,2)")
+    # exact until the last step, so that equal prices have no spread
+    squares = n.cast("decimal(12,0)") * F.sum("price_squares").cast("decimal(25,4)") - total * total
+    spread = F.when(n > 1, F.sqrt(squares.cast("double") / n / (n - 1)))
     sales = _basket_totals(
         baskets,
         "seller_id",

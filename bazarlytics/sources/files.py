@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bazarlytics.operators.grouping import union_all
 from bazarlytics.sources.schemas import RAW
 
 CORRUPT = "_corrupt_record"
@@ -29,25 +30,52 @@ def read_raw_csv(
     files: Mapping[str, str] = CSV_FILES,
     keep_corrupt: bool = False,
 ) -> DataFrame:
-    """Scan one raw CSV with its declared schema; nothing is inferred.
+    """Scan one raw CSV; columns are found by their header names and have declared types.
 
-    Zip prefixes are text, so leading zeros survive. Quoted free text may span lines.
-    Rows that do not parse keep their raw line in ``_corrupt_record`` when asked for.
+    Zip prefixes are text, so leading zeros survive. Quoted free text may span lines. A column
+    that the header lacks is an error, one that is not declared is left out, and every part
+    file must have the header of the first. Rows that do not parse keep their raw line in
+    ``_corrupt_record`` when asked for; all columns are then parsed.
     """
-    schema = RAW[table]
-    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+    declared = RAW[table]
+    path = f"{folder.rstrip('/')}/{files[table]}"
+    options = {"header": True, "escape": '"', "mode": "PERMISSIVE", "enforceSchema": False}
     if table == "reviews":
-        reader = reader.option("multiLine", True)
+        options["multiLine"] = True
+    header = spark.read.options(header=True, escape='"', multiLine=table == "reviews").csv(path).columns
+    missing = [f.name for f in declared if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    known = {f.name: f for f in declared}
+    schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+    kept = list(known)
     if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.schema(schema).csv(f"{folder.rstrip('/')}/{files[table]}")
+        schema = schema.add(CORRUPT, T.StringType())
+        options |= {"columnNameOfCorruptRecord": CORRUPT, "columnPruning": False}
+        kept.append(CORRUPT)
+    df = spark.read.options(**options).schema(schema).csv(path).select(*kept)
     zip_column = _ZIP_COLUMNS.get(table)
     if zip_column:
         df = df.withColumn(zip_column, F.lpad(zip_column, 5, "0"))
     return df
 
 
+def malformed_rows(spark: SparkSession, folder: str, files: Mapping[str, str] = CSV_FILES) -> DataFrame:
+    """source, rows and malformed rows (a cell that does not parse) of every raw CSV."""
+    counts = []
+    for table in RAW:
+        df = read_raw_csv(spark, folder, table, files, keep_corrupt=True)
+        # all cells are named, since Spark parses and checks only those that a query names
+        cells = F.length(F.concat_ws("", *(F.col(c).cast("string") for c in df.columns if c != CORRUPT)))
+        bad = F.col(CORRUPT).isNotNull() & (cells >= 0)
+        counts.append(
+            df.agg(F.count("*").alias("rows"), F.count_if(bad).alias("malformed_rows")).select(
+                F.lit(table).alias("source"), "rows", "malformed_rows"
+            )
+        )
+    return union_all(counts)
+
+
 def read_all_csv(spark: SparkSession, folder: str, files: Mapping[str, str] = CSV_FILES):
     return {table: read_raw_csv(spark, folder, table, files) for table in RAW}
 

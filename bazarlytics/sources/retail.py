@@ -242,8 +242,14 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def category_translation(spark: SparkSession, folder: str) -> DataFrame:
-    rows = [(f"cat_{n}", english) for n, english in CATEGORY_ENGLISH.items()]
-    return spark.createDataFrame(rows, RAW["category_translation"])
+    """The translated categories among those of the parts, at most a dozen rows, and 99."""
+    number = (F.col("p_partkey") % 12).cast("int")
+    seen = spark.read.parquet(f"{folder}/part.parquet").select(F.explode(F.array(number, F.lit(99))).alias("n")).distinct()
+    english = F.create_map(*[F.lit(x) for pair in CATEGORY_ENGLISH.items() for x in pair])
+    return seen.select(
+        F.concat(F.lit("cat_"), "n").alias("product_category_name"),
+        F.try_element_at(english, F.col("n")).alias("product_category_name_english"),
+    ).where(F.col("product_category_name_english").isNotNull())
 
 
 def geolocation(spark: SparkSession, folder: str) -> DataFrame:

@@ -162,7 +162,7 @@ RETENTION = {
         WITH {_GRID} SELECT {day("cohort_month")}, months_since_first, active_customers, {num("pct", "retention_pct")} FROM grid""",
     "q19_cohort_matrix": f"""
         WITH {_GRID} SELECT {day("cohort_month")},
-               {", ".join(num(f"coalesce(max(pct) FILTER (months_since_first = {m}), if(bool_or(pct IS NOT NULL), 0, NULL))", f"month_{m}") for m in range(13))}
+               {", ".join(num(f"coalesce(max(pct) FILTER (months_since_first = {m}), if(bool_or(pct IS NOT NULL), 0, NULL))", f"month_{m}") for m in range(84))}
         FROM grid GROUP BY cohort_month""",
     "q19_retention_curve": f"""
         WITH {_GRID} SELECT months_since_first, {avg("pct", "avg_retention_pct")} FROM grid GROUP BY months_since_first""",
@@ -510,3 +510,21 @@ STATEMENTS = {
     )
     for name, sql in group.items()
 }
+
+# the same over a period inside the data
+BOUNDED = {START: "1996-03-15", END: "1998-02-10"}
+
+
+def _bounded(sql: str) -> str:
+    for whole, inside in BOUNDED.items():
+        sql = sql.replace(f"'{whole}'", f"'{inside}'")
+    return sql
+
+
+STATEMENTS |= {
+    f"{name}_bounded": statement(_bounded({**EXECUTIVE, **RETENTION, **GEOGRAPHY, **RISK}[name]))
+    for name in (
+        "q01_executive_kpis", "q02_revenue_trend", "q03_customer_acquisition", "q18_days_to_second_purchase",
+        "q19_cohort_activity", "q19_cohort_retention", "q20_monthly_churn", "q46_state_revenue", "q55_cancellation_kpis",
+    )
+}

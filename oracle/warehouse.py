@@ -87,9 +87,10 @@ RAW = {
                CAST(2 + x % 40 AS DECIMAL(10, 2)) AS product_height_cm, CAST(10 + x % 60 AS DECIMAL(10, 2)) AS product_width_cm
         FROM (SELECT 'p' || p_partkey AS id, p_partkey AS x, p_name AS name, p_size AS size FROM part
               UNION ALL SELECT 'pn' || n_nationkey, n_nationkey, n_name, n_regionkey FROM nation) p""",
-    "raw_category_translation": "SELECT * FROM (VALUES "
+    "raw_category_translation": "SELECT c.* FROM (VALUES "
     + ", ".join(f"('cat_{n}', {quote(e)})" for n, e in CATEGORY_ENGLISH.items())
-    + ") c(product_category_name, product_category_name_english)",
+    + ") c(product_category_name, product_category_name_english) WHERE product_category_name IN"
+    + " (SELECT 'cat_' || p_partkey % 12 FROM part UNION SELECT 'cat_99' FROM part)",
     "raw_geolocation": """
         SELECT zip AS geolocation_zip_code_prefix,
                CAST(-30 + (CAST(zip AS INTEGER) - 10000) * 0.01 + d * 0.001 AS DECIMAL(10, 6)) AS geolocation_lat,

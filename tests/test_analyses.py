@@ -70,7 +70,8 @@ def test_cohorts_fill_gaps_with_zero(orders):
     assert rows[("2017-01-01", 1)] == 0.0 and rows[("2017-01-01", 2)] == 50.0 and rows[("2017-02-01", 1)] == 100.0
     curve = {r.months_since_first: r.avg_retention_pct for r in retention.retention_curve(df).collect()}
     assert curve == {0: 100.0, 1: 50.0, 2: 25.0}
-    wide = {str(r.cohort_month): r.asDict() for r in retention.cohort_matrix(df, 3).collect()}
+    wide = {str(r.cohort_month): r.asDict() for r in retention.cohort_matrix(df, "2017-01-01", "2017-04-30").collect()}
+    assert wide["2017-01-01"].keys() == {"cohort_month", "month_0", "month_1", "month_2", "month_3"}
     assert wide["2017-01-01"]["month_2"] == 50.0 and wide["2017-02-01"]["month_2"] == 0.0
 
 

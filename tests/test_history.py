@@ -5,6 +5,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bazarlytics.history import runs
 from bazarlytics.plans.warehouse import Warehouse
 from bazarlytics.quality import profile
@@ -87,3 +89,25 @@ def test_build_times_are_logged(spark, tmp_path):
     w.log_build(str(tmp_path / "model_history"), "i7")
     row = spark.read.parquet(str(tmp_path / "model_history")).first()
     assert (row.model_name, row.status, row.invocation_id) == ("stg_sellers", "success", "i7")
+
+
+def test_half_logged_run_is_not_seen(spark, documents, tmp_path, monkeypatch):
+    folder, append = str(tmp_path / "half"), runs.append_table
+    runs.log_run(spark, *documents, folder)
+    before = [df.count() for df in runs.read_history(spark, folder)]
+
+    def fails(df, path):
+        if path.endswith(runs.RUN_TABLE):
+            raise OSError("lost")
+        append(df.withColumn("invocation_id", F.lit("other")), path)
+
+    monkeypatch.setattr(runs, "append_table", fails)
+    with pytest.raises(OSError):
+        runs.log_run(spark, *documents, folder)
+    assert [df.count() for df in runs.read_history(spark, folder)] == before
+
+
+def test_run_without_results_succeeds(spark, documents):
+    results = runs.read_run_results(spark, documents[0]).withColumn("results", F.lit(None).cast("array<struct<unique_id:string,status:string>>"))
+    row = runs.run_summary(results).first()
+    assert (row.success, row.total_models, row.total_tests) == (True, 0, 0)

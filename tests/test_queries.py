@@ -29,4 +29,12 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cohort_matrix_holds_every_cell(spark):
+    cells = QUERIES["q19_cohort_retention"](spark, FOLDER).collect()
+    wide = {r.cohort_month: r.asDict() for r in QUERIES["q19_cohort_matrix"](spark, FOLDER).collect()}
+    assert max(r.months_since_first for r in cells) > 12
+    assert all(wide[r.cohort_month][f"month_{r.months_since_first}"] == r.retention_pct for r in cells)

@@ -37,6 +37,26 @@ def test_corrupt_rows_are_kept_apart(spark, tmp_path):
     assert df.filter(F.col(files.CORRUPT).isNotNull()).count() == 1 and df.count() == 2
 
 
+def test_columns_are_found_by_their_names(spark, tmp_path):
+    names = RAW["payments"].names
+    write(tmp_path, "payments", ",".join([names[2], "extra", *names[:2], *names[3:]]), "boleto,zzz,o1,1,2,10.50")
+    (row,) = files.read_raw_csv(spark, str(tmp_path), "payments").collect()
+    assert row.asDict() == dict(zip(names, ["o1", 1, "boleto", 2, row[4]])) and float(row[4]) == 10.5
+    write(tmp_path, "payments", ",".join(names[:-1]), "o1,1,boleto,2")
+    with pytest.raises(ValueError, match=names[-1]):
+        files.read_raw_csv(spark, str(tmp_path), "payments")
+
+
+def test_malformed_rows_are_counted_per_source(spark, tmp_path):
+    for table in RAW:
+        write(tmp_path, table, ",".join(RAW[table].names))
+    write(tmp_path, "payments", ",".join(RAW["payments"].names), "o1,1,boleto,1,10.50", "o2,x,boleto,1,oops")
+    orders = ["o1,c1,delivered,2017-13-45 99:00:00,,,,"]
+    write(tmp_path, "orders", ",".join(RAW["orders"].names), *orders)
+    counts = {r.source: (r.rows, r.malformed_rows) for r in files.malformed_rows(spark, str(tmp_path)).collect()}
+    assert counts == {t: (0, 0) for t in RAW} | {"payments": (2, 1), "orders": (1, 1)}
+
+
 def test_partitioned_table_prunes_months(spark, tmp_path):
     df = spark.range(400).select(
         F.col("id").cast("string").alias("order_id"), F.date_add(F.lit("2017-01-01").cast("date"), F.col("id").cast("int")).alias("order_date")
