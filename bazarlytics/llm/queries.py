@@ -104,4 +104,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_balanced_label_propagation": balanced_label_propagation,
 }
 
-SQL: dict[str, str] = {}
+#: Only what no trained model, hash of Spark's or tokenizer takes part in can be stated.
+SQL: dict[str, str] = {
+    "op8_metric_near_dedup": """
+        WITH RECURSIVE sized AS (
+            SELECT vec_id, embedding, len(embedding) = (
+                SELECT len(embedding) FROM embeddings WHERE len(embedding) > 0
+                GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1) AS fits
+            FROM embeddings),
+        good AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM sized
+            WHERE vec_id IS NOT NULL AND fits
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+            ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM good
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        found AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+        counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id,
+               coalesce(vec_id = coalesce(root, vec_id), false) AS kept
+        FROM embeddings LEFT JOIN found ON vec_id = found.a LEFT JOIN counted ON vec_id = counted.a""",
+}
