@@ -16,6 +16,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +47,20 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Kept(dict):
+    """Results by key, found by a function when first asked for and kept while there is room."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(self) < self.most:
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Encodes texts to unsigned 32-bit little-endian ids; a text's special strings are text."""
 
@@ -55,7 +70,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept, self.known_words, self.first, self.rest = kept, {}, {}, {}
+        self.known_words, self.first = _Kept(self._word, kept), _Kept(self._chunk, kept)
+        self.rest = _Kept(lambda chunk: self._chunk(" " + chunk), kept)
         self.words, self.lower = self._pattern(json.loads(self.tokenizer.to_str()))
 
     @staticmethod
@@ -79,15 +95,11 @@ class Encoder:
         ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)])
         if sys.byteorder == "big":
             ids.byteswap()
-        found = ids.tobytes()
-        if len(self.known_words) < self.kept:
-            self.known_words[word] = found
-        return found
+        return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk: those of its words one after another."""
-        get = self.known_words.get
-        return b"".join([get(w) or self._word(w) for w in self.words.findall(chunk)])
+        return b"".join(map(self.known_words.__getitem__, self.words.findall(chunk)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, at, total = [], 0, 0
@@ -104,28 +116,15 @@ class Encoder:
             return False
         return unicodedata.is_normalized("NFC", text) if self.lower else not _WIDE.search(text)
 
-    def _know(self, chunks: list[list[str]], kept: dict[str, bytes], before: str) -> list[str]:
-        """Look up all chunks; returns those for which there was no room, to be dropped again."""
-        fresh = list(set().union(*chunks).difference(kept))
-        room = max(0, self.kept - len(kept))
-        kept.update([(c, self._chunk(before + c)) for c in fresh])
-        return fresh[room:]
-
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [(t.lower() if self.lower else t).split(" ") if self._plain(t) else None for t in texts]
-        plain = [c for c in cut if c is not None]
-        over = self._know([[c[0]] for c in plain], self.first, ""), self._know([c[1:] for c in plain], self.rest, " ")
         first, rest = self.first, self.rest.__getitem__
-        out = [
+        return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             if chunks is None
             else first[chunks[0]] + b"".join(map(rest, chunks[1:]))
             for t, chunks in zip(texts, cut)
         ]
-        for chunks, kept in zip(over, (self.first, self.rest)):
-            for chunk in chunks:
-                del kept[chunk]
-        return out
 
 
 @lru_cache(maxsize=4)

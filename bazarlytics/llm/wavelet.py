@@ -59,7 +59,7 @@ def pack(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
         ones = [int(np.count_nonzero(bits[at : at + CHUNK])) for at in range(0, len(bits), CHUNK)]
         sizes = [put(packed[at : at + CHUNK // 8].tobytes()) for at in range(0, len(packed), CHUNK // 8)]
         planes.append({"sizes": sizes, "ones": np.cumsum([0, *ones]).tolist()})
-        now = np.concatenate([now[~bits], now[bits]])
+        now = np.concatenate([np.compress(~bits, now), np.compress(bits, now)])
     table = put(json.dumps({"doc_ids": doc_ids, "lengths": lengths}).encode())
     head = press(json.dumps({"n": len(ids), "levels": levels, "planes": planes, "documents": table}).encode())
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body])
@@ -149,19 +149,18 @@ class Shard:
         return i
 
     def all_ids(self) -> np.ndarray:
-        """Every id of the shard in order, by undoing the planes from the lowest."""
-        kind = np.uint16 if self.levels <= 16 else np.uint32
-        values = np.zeros(self.n, kind)
-        for level in range(self.levels - 1, -1, -1):
+        """Every id of the shard in order: places and the bits read so far go down the planes."""
+        rows = np.arange(self.n, dtype=np.uint64) << np.uint64(32)
+        for level in range(self.levels):
             parts = []
             for at, size in self.places[level]:
                 self.file.seek(at)
                 parts.append(self.expand(self.file.read(size)))
-            bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8), bitorder="little")[: self.n] == 1
-            above = np.empty_like(values)
-            above[~bits] = values[: self.zeros[level]]
-            above[bits] = values[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
-            values = above
+            bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8), bitorder="little")[: self.n]
+            rows |= bits.astype(np.uint64) << np.uint64(self.levels - 1 - level)
+            rows = np.concatenate([np.compress(bits == 0, rows), np.compress(bits, rows)])
+        values = np.zeros(self.n, np.uint32)
+        values[rows >> np.uint64(32)] = (rows & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return values
 
 
