@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -177,7 +178,8 @@ def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int) -
 def search(index: Index, texts: list[bytes], cosine: float, covered: float, copied: float, paraphrased: float) -> list[tuple]:
     """(row, item, cosine, lcs, answer) of every item found in a text."""
     get, n_items = index.vocabulary.get, len(index.items)
-    docs = [np.array([get(w, 0) for w in words_of(t)], np.int64) for t in texts]
+    split = [words_of(t) for t in texts]
+    docs = [np.fromiter(map(get, words, repeat(0)), np.int32, len(words)) for words in split]
     lengths = np.array([len(d) for d in docs], np.int64)
     blocks = -(-lengths // STEP)
     first = np.concatenate([[0], np.cumsum(blocks)])
@@ -262,7 +264,7 @@ def find(
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = [t.as_py() for t in b.column(1)]
-                for low, high in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 600_000):
+                for low, high in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 300_000):
                     rows = search(index, texts[low:high], cosine, covered, copied, paraphrased)
                     if rows:
                         at, item, cos, share, there = zip(*rows)
