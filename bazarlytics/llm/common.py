@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from bazarlytics.session import RUNTIME_CONF, scratch_path
 
 
+#: Rows that a worker gets at once; documents may be long.
+WORKER_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _shipped: set[str] = set()
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on: UTC, adaptive plans, split skewed joins, and this package
     on the workers' path."""
-    for key, value in RUNTIME_CONF.items():
+    for key, value in (RUNTIME_CONF | WORKER_CONF).items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[2]

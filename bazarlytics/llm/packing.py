@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from bazarlytics.llm.common import batch, store, utf8
+from bazarlytics.llm.common import batch, fresh, store, utf8
 from bazarlytics.llm.tokens import encoder
 
 GROUP = 30_000  # pieces that one task packs
@@ -106,6 +107,17 @@ def place(rows: DataFrame, length: str = "length", capacity: int = 2048, group:
     that fill a sequence get one of their own. No rows give no rows. `loose` is the share of
     the capacity below which a sequence is taken apart for the next round.
     """
+    if all(isinstance(f.dataType, NumericType) for f in rows.schema):
+        return _placed(rows, length, capacity, group, loose)
+    # a task packs the lengths of its rows; what else they hold does not pass through it
+    row, names = fresh("row", rows.columns), rows.columns
+    kept = store(rows.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    found = _placed(kept.select(row, F.col(length).cast("long").alias("size")), "size", capacity, group, loose)
+    joined = kept.join(found.select(F.col(row).alias("_packed"), "sequence_id", "offset"), F.col(row) == F.col("_packed"))
+    return joined.select(*names, "sequence_id", "offset")
+
+
+def _placed(rows: DataFrame, length: str, capacity: int, group: int, loose: float) -> DataFrame:
     given = rows.columns
     names = [f"c{i}" for i in range(len(given))]
     left = store(rows.toDF(*names), "pieces")
