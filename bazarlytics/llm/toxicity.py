@@ -96,9 +96,10 @@ class Model:
 
 def _matrix(rows: list[list[int]], place: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of every feature that has a place."""
-    pairs = [(i, place[f]) for i, fs in enumerate(rows) for f in fs if f in place]
-    array = np.array(pairs, np.int64).reshape(-1, 2)
-    return array[:, 0], array[:, 1]
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat = np.fromiter((place.get(f, -1) for fs in rows for f in fs), np.int64, int(lengths.sum()))
+    known = flat >= 0
+    return np.repeat(np.arange(len(rows)), lengths)[known], flat[known]
 
 
 def train(
