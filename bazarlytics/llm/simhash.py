@@ -17,7 +17,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,27 +151,25 @@ def segments(threshold: int, layout: str) -> list[Segment]:
 
 
 def cells(distinct: DataFrame, threshold: int, layout: str) -> DataFrame:
-    """(cell, role, fp, id): a home row per segment and a visit to each anchor before its own
+    """(cell, role, fp): a home row per segment and a visit to each anchor before its own
     at which a partner can live. Of two partners, the one with the later anchor visits."""
 
     def run(batches):
         cuts = segments(threshold, layout)
         for b in batches:
-            fps, ids = b.column(0).to_numpy(), b.column(1)
+            fps = b.column(0).to_numpy()
             for number, cut in enumerate(cuts):
                 values = cut.bits(fps)
                 own, base = cut.anchor(values), np.int64(number) << 40
-                yield batch(cell=own | base, role=np.zeros(len(own), np.int32), fp=fps, id=ids)
+                yield batch(cell=own | base, role=np.zeros(len(own), np.int32), fp=fps)
                 if cut.threshold:
                     reach = np.sort(cut.anchor(values[:, None] ^ cut.errors[None, :]), axis=1)
                     fresh = np.ones(reach.shape, bool)
                     fresh[:, 1:] = reach[:, 1:] != reach[:, :-1]
                     row, col = np.nonzero(fresh & (reach < own[:, None]))
-                    yield batch(
-                        cell=reach[row, col] | base, role=np.ones(len(row), np.int32), fp=fps[row], id=ids.take(pa.array(row))
-                    )
+                    yield batch(cell=reach[row, col] | base, role=np.ones(len(row), np.int32), fp=fps[row])
 
-    return distinct.select("fp", "id").mapInArrow(run, "cell bigint, role int, fp bigint, id bigint")
+    return distinct.select("fp").mapInArrow(run, "cell bigint, role int, fp bigint")
 
 
 SHORT = 48
@@ -180,8 +177,8 @@ SHORT = 48
 
 def _compare(frames: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
     for frame, starts in whole_blocks(frames):
-        fp = frame["fp"].to_numpy().view(np.uint64)
-        ids, side = frame["id"].to_numpy(), frame["side"].to_numpy()
+        ids, side = frame["fp"].to_numpy(), frame["side"].to_numpy()
+        fp = ids.view(np.uint64)
         sizes = np.diff(starts)
         left, right = [], []
         block_of = np.repeat(np.arange(len(sizes)), sizes)
@@ -219,7 +216,7 @@ def near_groups(prints: DataFrame, threshold: int = 4, id_col: str = "doc_id", l
     differ in at most `threshold` bits.
 
     Equal fingerprints are one class, whatever their number. Every class takes part in the
-    search; a cell above the block size is compared in blocks by several tasks, and what a
+    search under its fingerprint, which is never null; ids only name what was found; a cell above the block size is compared in blocks by several tasks, and what a
     task reports is a spanning forest of its links, not the pairs.
     """
     prints = store(prints, "fingerprints")
@@ -230,10 +227,11 @@ def near_groups(prints: DataFrame, threshold: int = 4, id_col: str = "doc_id", l
     dealt = grouped(deal(members, BLOCK, "fp"))
     links = dealt.mapInPandas(lambda frames: _compare(frames, threshold), "a bigint, b bigint")
     found = connected_components(links, "a", "b")
-    classes = distinct.join(found, distinct.id == found.node, "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
+    classes = distinct.join(found, distinct.fp == found.node, "left").select(
+        "fp", "id", F.coalesce("component", "fp").alias("root")
     )
-    return prints.join(classes, "fp")
+    smallest = classes.groupBy("root").agg(F.min("id").alias("component_id"))
+    return prints.join(classes.join(smallest, "root").select("fp", "component_id"), "fp")
 
 
 def simhash_groups(docs: DataFrame, size: int = 4, threshold: int = 4) -> DataFrame:

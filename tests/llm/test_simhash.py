@@ -83,3 +83,14 @@ def test_deduplicate_keeps_columns(spark):
     kept = simhash.deduplicate(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_classes_without_id_bridge_only_what_they_touch(spark):
+    """Two null-id classes near different documents, a chain through a null-id class, large ids."""
+    a, b, c = 0x0F0F0F0F0F0F0F0F, 0x7EDCBA9876543210, 0x123456789ABCDEF0
+    big = 2**53
+    rows = [(big + 1, a), (None, a ^ 0b11), (big + 3, b), (None, b ^ 0b11), (big + 5, c), (None, c ^ 0xF), (big + 7, c ^ 0xFF)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long").coalesce(1)
+    got = {r.fp: r.component_id for r in simhash.near_groups(df).collect()}
+    first = {a: big + 1, a ^ 0b11: big + 1, b: big + 3, b ^ 0b11: big + 3}
+    assert got == first | {fp: big + 5 for fp in (c, c ^ 0xF, c ^ 0xFF)}
