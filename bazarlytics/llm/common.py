@@ -43,6 +43,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a row id of their own, stored so that it stays, and its column's name."""
+    row = fresh("_row", docs.columns)
+    return store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows"), row
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """The name, with underscores after it until no column has it; names ignore case."""
     lower = {t.lower() for t in taken}

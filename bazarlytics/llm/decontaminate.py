@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazarlytics.llm.common import batch, slices, store, utf8
+from bazarlytics.llm.common import batch, numbered, slices, store, utf8
 
 STEP = 16  # words of a block; a window is two blocks
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -292,6 +292,9 @@ def _blocks(items: DataFrame, size: int) -> Iterator[DataFrame]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no benchmark item is found, all columns as they were."""
-    hit = store(find(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents in which no benchmark item is found, all columns as they were. Rows are
+    told apart by their place, so that a find removes its own row only, whatever its id."""
+    rows, row = numbered(docs)
+    found = find(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, **options)
+    hit = store(found.select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return rows.join(hit, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

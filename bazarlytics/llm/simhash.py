@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazarlytics.llm.blocks import OWN, PARTNER, deal, grouped, whole_blocks
-from bazarlytics.llm.common import batch, store, utf8
+from bazarlytics.llm.common import batch, numbered, store, utf8
 from bazarlytics.llm.graph import connected_components, forest
 
 #: Check polynomials of the binary Golay code and of two Hamming codes.
@@ -247,17 +247,20 @@ def simhash_groups(docs: DataFrame, size: int = 4, threshold: int = 4) -> DataFr
 
 
 def deduplicate(docs: DataFrame, size: int = 4, threshold: int = 4) -> DataFrame:
-    """The documents whose id is the smallest of their group, all columns as they were.
+    """One document of every group, all columns as they were; see first_rows()."""
+    rows, row = numbered(docs)
+    groups = near_groups(fingerprints(rows, size, row), threshold, row)
+    return first_rows(rows, row, groups.select(row, "component_id"))
 
-    Of rows that repeat an id one stays. Rows without an id cannot be told apart; they count
-    as one document, which stays if no group of theirs has a row with an id.
+
+def first_rows(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
+    """Of every component of (row id, component_id) the row with the smallest doc_id.
+
+    Only the text groups rows: different texts stay, also without an id or under one id. A
+    row without an id stays if its group has none with one; equal ids are told apart by row.
     """
-    groups = store(near_groups(fingerprints(docs, size), threshold), "near-duplicate-groups")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = store(kept, "kept-documents")
-    one, more = kept.where("n = 1"), kept.where("n > 1")
-    single = docs.join(one, docs["doc_id"].eqNullSafe(one["doc_id"]), "left_semi")
-    if more.isEmpty():
-        return single
-    repeated = docs.join(more, docs["doc_id"].eqNullSafe(more["doc_id"]), "left_semi")
-    return single.union(repeated.dropDuplicates(["doc_id"]))
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").isNull().alias("bare"), "doc_id")
+    ids = ids.join(groups.withColumnRenamed(row, "row"), "row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct("bare", "doc_id", "row")).alias("first"))
+    kept = store(first.select(F.col("first.row").alias(row)), "kept-rows")
+    return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in rows.columns if c != row))

@@ -87,3 +87,10 @@ def test_empty_tables(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.find(documents, bench).collect() == [] and D.decontaminate(documents.limit(3), bench).count() == 3
     assert D.find(documents.limit(0), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect() == []
+
+
+def test_a_find_removes_its_own_row_only(spark):
+    bench = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
+    rows = [(None, f"before it {ITEM}"), (None, "a clean text without an id"), (4, ITEM), (4, "a clean text under the same id")]
+    kept = D.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(r.text for r in kept) == ["a clean text under the same id", "a clean text without an id"]

@@ -94,3 +94,11 @@ def test_classes_without_id_bridge_only_what_they_touch(spark):
     got = {r.fp: r.component_id for r in simhash.near_groups(df).collect()}
     first = {a: big + 1, a ^ 0b11: big + 1, b: big + 3, b ^ 0b11: big + 3}
     assert got == first | {fp: big + 5 for fp in (c, c ^ 0xF, c ^ 0xFF)}
+
+
+def test_deduplicate_tells_rows_apart_by_text(spark):
+    texts = ["a b c d e", "f g h i j", "k l m n o", "p q r s t", "u v w x y"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (9, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.text, r.doc_id) for r in simhash.deduplicate(df).collect())
+    assert got == list(zip(texts, [None, None, 7, 7, 9]))
