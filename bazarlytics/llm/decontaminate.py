@@ -132,12 +132,11 @@ def randomised_svd(passages: DataFrame, width: int, rank: int, rounds: int = 3,
 
 @dataclass
 class Index:
-    """What a task needs to search: word numbers, latent vectors and weights of the words (0 and
-    the last row are unknown words), unit passages and their items."""
+    """What a task needs to search: word numbers, latent vectors of the words (0 is unknown
+    words), unit passages and their items."""
 
     vocabulary: dict[bytes, int]
     latent: np.ndarray
-    weight: np.ndarray
     passages: np.ndarray
     owner: np.ndarray
     items: list[Item]
@@ -147,7 +146,7 @@ def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int) -
     vocabulary = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}), 1)}
     frequency, n = document_frequencies(docs, vocabulary)
     weight = np.log((1 + n) / (1 + frequency)) + 0.05
-    weight = np.concatenate([[np.log(1.0 + n) + 0.05], weight])
+    weight = np.concatenate([[0.0], weight])
     ids = {item.item_id for item in items}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +171,10 @@ def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int) -
             vector = latent[[vocabulary[w] for w in part]].sum(0)
             vectors.append(vector / max(np.linalg.norm(vector), 1e-9))
             owner.append(k)
-    return Index(vocabulary, latent, weight.astype(np.float32), np.array(vectors, np.float32), np.array(owner), items)
+    return Index(vocabulary, latent, np.array(vectors, np.float32), np.array(owner), items)
 
 
-def search(index: Index, texts: list[bytes], cosine: float, covered: float, copied: float, paraphrased: float) -> list[tuple]:
+def search(index: Index, texts: list[bytes], cosine: float, copied: float, paraphrased: float) -> list[tuple]:
     """(row, item, cosine, lcs, answer) of every item found in a text."""
     get, n_items = index.vocabulary.get, len(index.items)
     split = [words_of(t) for t in texts]
@@ -189,7 +188,6 @@ def search(index: Index, texts: list[bytes], cosine: float, covered: float, copi
     flat = np.concatenate(docs)
     offsets = np.cumsum(lengths) - lengths
     block = np.repeat(first[:-1], lengths) + (np.arange(len(flat)) - np.repeat(offsets, lengths)) // STEP
-    norm2 = np.bincount(block, index.weight[flat] ** 2, total)
     known = np.flatnonzero(flat)
     sums = np.zeros((total, index.latent.shape[1]), np.float32)
     if len(known):
@@ -198,13 +196,11 @@ def search(index: Index, texts: list[bytes], cosine: float, covered: float, copi
         sums[owners[starts]] = np.add.reduceat(index.latent[flat[known]], starts, axis=0)
     follows = np.ones(total, bool)
     follows[first[1:][blocks > 0] - 1] = False  # a document's last block stands alone
-    window, size2 = sums.copy(), norm2.copy()
+    window = sums.copy()
     has = np.flatnonzero(follows)
     window[has] += sums[has + 1]
-    size2[has] += norm2[has + 1]
-    size = np.sqrt(np.maximum(size2, 1e-12))
     inside = np.sqrt((window * window).sum(1))  # the part of a window that lies in the space
-    likely = np.flatnonzero(inside >= covered * size)
+    likely = np.flatnonzero(inside > 0)
     masks: dict[int, dict[int, int]] = {}
     best: dict[tuple[int, int], tuple] = {}
     for at in range(0, len(likely), 2048):
@@ -235,13 +231,13 @@ def search(index: Index, texts: list[bytes], cosine: float, covered: float, copi
 
 
 def find(
-    docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, rank: int = 384, cosine: float = 0.5, covered: float = 0.15,
+    docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, rank: int = 384, cosine: float = 0.5,
     copied: float = 0.8, paraphrased: float = 0.6, item_block: int = 200,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words) and answer_found of every find.
 
-    A window is searched if at least the share `covered` of its weight lies in the latent
-    space, and a passage is a candidate from the cosine on. An item counts as copied or
+    Every window with a word of the benchmark is searched, whatever stands around it and however
+    many documents there are, and a passage is a candidate from the cosine on. An item counts as copied or
     paraphrased from those shares of its words in order; the latter needs its answer too.
     Items go through in blocks of `item_block`, each against all documents, which bounds what
     the driver and the tasks hold; the rank nearly holds a block's passages whole. Texts are searched whole. Null and empty texts hold
@@ -265,7 +261,7 @@ def find(
             for b in batches:
                 texts = [t.as_py() for t in b.column(1)]
                 for low, high in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 300_000):
-                    rows = search(index, texts[low:high], cosine, covered, copied, paraphrased)
+                    rows = search(index, texts[low:high], cosine, copied, paraphrased)
                     if rows:
                         at, item, cos, share, there = zip(*rows)
                         yield batch(

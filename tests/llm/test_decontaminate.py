@@ -94,3 +94,27 @@ def test_a_find_removes_its_own_row_only(spark):
     rows = [(None, f"before it {ITEM}"), (None, "a clean text without an id"), (4, ITEM), (4, "a clean text under the same id")]
     kept = D.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert sorted(r.text for r in kept) == ["a clean text under the same id", "a clean text without an id"]
+
+
+def test_recall_does_not_fall_with_the_number_of_documents(spark, monkeypatch):
+    """Short items and paraphrases among words the benchmark lacks, at shares of documents that
+    stay while their number grows."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(common + [f"r{k}a{i}" for i in range(6)], 10 + 14 * (k % 2))) for k in range(40)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    items = D.items_of([(k, t, None) for k, t in enumerate(texts)])
+    planted = []
+    for k, item in enumerate(items):
+        words = [w.decode() for w in item.words]
+        if k % 2:  # a paraphrase: 38 % of the words replaced, the last five kept
+            for at in rng.choice(len(words) - 5, int(0.38 * len(words)), replace=False):
+                words[at] = f"z{k}n{at}"
+        lead = rng.integers(5, 25)
+        planted.append(" ".join([f"y{k}n{i}" for i in range(lead)] + words + [f"q{k}n{i}" for i in range(40)]).encode())
+    shares = np.where([w.startswith(b"c") for w in sorted({w for i in items for w in i.words})], 0.4, 0.002)
+    for n in (10**4, 15 * 10**6, 10**9):
+        monkeypatch.setattr(D, "document_frequencies", lambda docs, vocabulary, n=n: (shares * n, n))
+        index = D.build(None, bench, items, 384)
+        got = {(doc, item) for doc, item, *_ in D.search(index, planted, cosine=0.5, copied=0.8, paraphrased=0.6)}
+        assert got >= {(k, k) for k in range(len(items))}
