@@ -143,7 +143,9 @@ class Index:
 
 
 def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int) -> Index:
-    vocabulary = {w: i for i, w in enumerate(sorted({w for item in items for w in item.words}), 1)}
+    own = {w for item in items for w in item.words}
+    told = {w for item in items for w in item.answer} - own  # numbered, but without a latent vector
+    vocabulary = {w: i for i, w in enumerate([*sorted(own), *sorted(told)], 1)}
     frequency, n = document_frequencies(docs, vocabulary)
     weight = np.log((1 + n) / (1 + frequency)) + 0.05
     weight = np.concatenate([[0.0], weight])
@@ -162,9 +164,9 @@ def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int) -
 
     source = benchmark.select("item_id", F.col("text").cast("binary"))
     table = store(source.mapInArrow(rows, "cols array<long>, vals array<double>"), "benchmark-passages")
-    space = randomised_svd(table, len(vocabulary), rank)
+    space = randomised_svd(table, len(own), rank)
     latent = np.zeros((len(vocabulary) + 1, space.shape[1]), np.float32)
-    latent[1:] = space * weight[1:, None]
+    latent[1 : len(own) + 1] = space * weight[1 : len(own) + 1, None]
     vectors, owner = [], []
     for k, item in enumerate(items):
         for part in passages_of(item.words):

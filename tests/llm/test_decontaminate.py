@@ -118,3 +118,11 @@ def test_recall_does_not_fall_with_the_number_of_documents(spark, monkeypatch):
         index = D.build(None, bench, items, 384)
         got = {(doc, item) for doc, item, *_ in D.search(index, planted, cosine=0.5, copied=0.8, paraphrased=0.6)}
         assert got >= {(k, k) for k in range(len(items))}
+
+
+def test_paraphrases_with_an_answer_apart(spark):
+    changed = " ".join(w if i % 3 else f"other{i}" for i, w in enumerate(ITEM.split()))
+    bench = spark.createDataFrame([(9, ITEM, "Forty two")], "item_id long, text string, reply string")
+    docs = spark.createDataFrame([(1, f"{changed} forty two"), (2, f"{changed} forty one")], "doc_id long, text string")
+    got = D.find(docs, bench, answer_col="reply").collect()
+    assert [(r.doc_id, r.answer_found) for r in got] == [(1, True)] and got[0].lcs < 0.8
