@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlytics.llm import decontaminate, language, licenses, packing, secrets, toxicity, wavelet
+from bazarlytics.llm import conversations, decontaminate, language, licenses, lines, packing, secrets, toxicity, wavelet
 from bazarlytics.llm.common import crc32_mod, prepared
 from bazarlytics.llm.embeddings import near_vectors
 from bazarlytics.llm.sharding import even_shards
@@ -91,6 +91,16 @@ def balanced_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
     return even_shards(_table(spark, folder, "documents"))
 
 
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_digests(_table(spark, folder, "conversations"))
+
+
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.drop_repeated_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_wavelet_token_files": wavelet_token_files,
@@ -102,10 +112,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_metric_near_dedup": metric_near_dedup,
     "op9_sum_of_squares_packing": sum_of_squares_packing,
     "op10_balanced_label_propagation": balanced_label_propagation,
+    "op11_conversation_repair": conversation_repair,
+    "op12_line_dedup": line_dedup,
 }
 
 #: Only what no trained model, hash of Spark's or tokenizer takes part in can be stated.
 SQL: dict[str, str] = {
+    "op12_line_dedup": """
+        WITH texts AS (
+            SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        lines AS (SELECT row, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM texts),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        shared AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id < last) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE last IS NULL OR doc_id = last), ''))
+                AS kept_sha256
+        FROM keyed LEFT JOIN shared USING (key) GROUP BY row, doc_id""",
     "op8_metric_near_dedup": """
         WITH RECURSIVE sized AS (
             SELECT vec_id, embedding, len(embedding) = (
