@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlytics.llm import conversations, decontaminate, language, licenses, lines, packing, secrets, toxicity, wavelet
+from bazarlytics.llm import conversations, decontaminate, language, licenses, lines, packing, phrases, secrets, toxicity, wavelet
 from bazarlytics.llm.common import crc32_mod, prepared
 from bazarlytics.llm.embeddings import near_vectors
 from bazarlytics.llm.sharding import even_shards
@@ -101,6 +101,10 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_wavelet_token_files": wavelet_token_files,
@@ -114,10 +118,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_balanced_label_propagation": balanced_label_propagation,
     "op11_conversation_repair": conversation_repair,
     "op12_line_dedup": line_dedup,
+    "op13_toivonen_collocations": phrase_collocations,
 }
 
 #: Only what no trained model, hash of Spark's or tokenizer takes part in can be stated.
 SQL: dict[str, str] = {
+    "op13_toivonen_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\\x0A-\\x0D]')), '[^ \\x09]+') AS w FROM documents),
+        totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+        places AS (
+            SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+            FROM pieces, range(1, 6) AS sizes(k) WHERE len(w) >= k),
+        counts AS (
+            SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS a
+            FROM places GROUP BY ALL HAVING count(*) >= 100),
+        cuts AS (
+            SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, size - 1)) AS k FROM counts WHERE size > 1),
+        scores AS (
+            SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, (1000 * c.a * n) // (l.a * r.a) AS score, k
+            FROM cuts c JOIN totals USING (lang)
+            JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ')
+            JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+        lowest AS (
+            SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (
+            SELECT * FROM lowest c WHERE NOT EXISTS (
+                SELECT 1 FROM counts b WHERE b.lang = c.lang AND 100 * b.a >= 100 * c.a
+                AND len(b.phrase) > len(c.phrase) AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked WHERE rank <= 2000""",
     "op12_line_dedup": """
         WITH texts AS (
             SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
