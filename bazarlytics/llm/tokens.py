@@ -62,17 +62,19 @@ class _Kept(dict):
 
 
 class Encoder:
-    """Encodes texts to unsigned 32-bit little-endian ids; a text's special strings are text."""
+    """Encodes texts to unsigned 32-bit little-endian ids, as the library does by default: a string
+    of an added token is that token, so texts that hold one go to the library whole."""
 
     def __init__(self, path: str, kept: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known_words, self.first = _Kept(self._word, kept), _Kept(self._chunk, kept)
         self.rest = _Kept(lambda chunk: self._chunk(" " + chunk), kept)
-        self.words, self.lower = self._pattern(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.words, self.lower = self._pattern(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
 
     @staticmethod
     def _pattern(spec: dict):
@@ -112,7 +114,9 @@ class Encoder:
 
     def _plain(self, text: str) -> bool:
         """Whether the text can be cut at its spaces."""
-        if self.words is None or _ODD.search(text):
+        if self.words is None or _ODD.search(text) or any(t in text for t in self.added):
+            return False
+        if self.lower and any(t in text.lower() for t in self.added):
             return False
         return unicodedata.is_normalized("NFC", text) if self.lower else not _WIDE.search(text)
 

@@ -11,15 +11,15 @@ from bazarlytics.llm.queries import QUERIES
 from bazarlytics.llm.tokens import Encoder, default_path
 
 NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
-TEXT = st.text(st.one_of(st.sampled_from("aé ü\n\t.'sS½²ªⅣ中ﬁİΣς\x1c\x85\xa0é<|>"), st.characters(codec="utf-8")), max_size=40)
+_CHARS = st.text(st.one_of(st.sampled_from("aé ü\n\t.'sS½²ªⅣ中ﬁİΣς\x1c\x85\xa0é<|>"), st.characters(codec="utf-8")), max_size=40)
+TEXT = st.lists(st.one_of(_CHARS, st.sampled_from(["<|endoftext|>", "<|EndOfText|>"])), max_size=4).map("".join)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_encoder_equals_the_library(name, documents):
     plain = Tokenizer.from_file(default_path(name))
-    plain.encode_special_tokens = True
     texts = [r.text or "" for r in documents.select("text").collect()]
-    texts += ["", "It's they're I'LL 3½ x²", "<|endoftext|>", "a\n\n b  \n", "naïve café", "ΣΑΣ ς", "a\x1cb\x85c"]
+    texts += ["", "It's they're I'LL 3½ x²", "a <|endoftext|> b", "<|ENDOFTEXT|>x", "<|startoftext|><|endoftext|>", "<|endoftext", "a\n\n b  \n", "naïve café", "ΣΑΣ ς", "a\x1cb\x85c"]
     got = Encoder(default_path(name), kept=3000).encode(texts)
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
@@ -28,7 +28,6 @@ def test_encoder_equals_the_library(name, documents):
 @pytest.mark.parametrize("name", NAMES)
 def test_encoder_on_any_text(name):
     plain = Tokenizer.from_file(default_path(name))
-    plain.encode_special_tokens = True
     own = Encoder(default_path(name))
 
     @settings(max_examples=300, deadline=None)
@@ -58,7 +57,6 @@ def test_shard_answers(monkeypatch):
 
 def expected(rows, name, end):
     plain = Tokenizer.from_file(default_path(name))
-    plain.encode_special_tokens = True
     for key, text in rows:
         yield key, [*plain.encode(text or "", add_special_tokens=False).ids, end]
 
