@@ -9,6 +9,7 @@ holds most letters is the document's.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,9 @@ SCRIPTS = {
     "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)),
     "han": ((0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F)),
 }
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Python counts all numerals to the word characters; a word has letters only.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _ASCII = re.compile(r"[a-z]+\Z")
 _RANGES = sorted((low, high, 1 << i) for i, ranges in enumerate(SCRIPTS.values()) for low, high in ranges)
 _OTHER = 1 << len(SCRIPTS)
@@ -250,11 +253,14 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     """doc_id, lang_pred, score and, if asked, spans (start, end, lang) of every document.
 
     lang_pred holds most of the letters, the first name of equals; score is its share of all
-    letters. A text that is null or has no letter, or that no learned language's scripts
-    cover, is `und` with score 0. Span ends are exclusive, in characters of the text.
+    letters. A text that is null or has no letter is `und` with score 0, and so is every text
+    when no language was learned. A text with letters only of scripts that no learned language
+    has gets the language with the most text in the sample, with score 0. A null id stays null.
+    Span ends are exclusive, in characters of the text.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = model.languages
+    common = int(np.argmin(model.unseen)) if names else 0  # the more text, the lower the share of what is unseen
 
     def rows_of(texts: list[str], labeller: Labeller) -> tuple[list[str], list[float]]:
         docs_words = [words_of(t) for t in texts]
@@ -264,8 +270,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
         width = max(1, len(names))
         letters = np.bincount(doc * width + path, sizes * known, len(texts) * width).reshape(-1, width)
         total = np.maximum(1, np.bincount(doc, sizes, len(texts)))
-        best, most = letters.argmax(1), letters.max(1)
-        return [names[k] if m else UNKNOWN for k, m in zip(best.tolist(), most.tolist())], (most / total).tolist()
+        most = letters.max(1)
+        best = np.where(most > 0, letters.argmax(1), common)
+        some = [bool(words and names) for words in docs_words]
+        return [names[k] if s else UNKNOWN for k, s in zip(best.tolist(), some)], (most / total).tolist()
 
     def spans_of(text: str, labeller: Labeller) -> list[dict]:
         words = list(_LETTERS.finditer(text))

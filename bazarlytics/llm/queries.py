@@ -34,11 +34,11 @@ def wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     third = crc32_mod(F.col("doc_id"), 3)
-    model = toxicity.fit(docs, labels.where(third != 1))
+    model = toxicity.fit(docs, labels.where(third != 1))  # rows without an id are not held out
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id",
-        (third == 1).alias("held_out"),
+        F.coalesce(third == 1, F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
     )
@@ -51,9 +51,10 @@ def latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     quarter = crc32_mod(F.col("doc_id"), 4)
-    model = language.fit(docs.where(quarter != 2))
+    held_out = F.coalesce(quarter == 2, F.lit(False))  # rows without an id are not
+    model = language.fit(docs.where(~held_out))
     found = language.identify(docs, model)
-    return found.select("doc_id", (quarter == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
