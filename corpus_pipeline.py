@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazarlytics.llm import decontaminate, nearcopies, packing, secrets, toxicity
+from bazarlytics.llm import decontaminate, packing, secrets, simhash, toxicity
 from bazarlytics.llm.common import fresh, prepared
 from bazarlytics.llm.tokens import default_path
 from bazarlytics.session import scratch_path
@@ -27,10 +27,9 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of near-duplicates: five-word
-    shingles, similarity from 0.8 on."""
+    """Keep the document with the smallest id of every group whose fingerprints link."""
     prepared(spark)
-    return nearcopies.deduplicate(docs)
+    return simhash.deduplicate(docs, size=4, threshold=4)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
