@@ -27,6 +27,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]+"
 LEAST = 20
+CHUNK = 256
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -47,11 +48,18 @@ def _matches(text: Column, pattern: str, kind: int, measured: int, least: int) -
         start = state["at"] + F.length(row["g"])
         end = start + F.length(row["w"])
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        found = F.when(F.length(row["p"]) >= least, F.array_append(state["found"], span)).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+        fits, full = F.length(row["p"]) >= least, F.size(state["now"]) >= CHUNK
+        kept = F.when(full, F.array_append(state["done"], state["now"])).otherwise(state["done"])
+        now = F.when(full, F.array(span)).otherwise(F.array_append(state["now"], span))
+        return F.struct(
+            end.alias("at"),
+            F.when(fits, now).otherwise(state["now"]).alias("now"),
+            F.when(fits, kept).otherwise(state["done"]).alias("done"),
+        )
 
-    begin = F.struct(F.lit(0).alias("at"), _empty().alias("found"))
-    return F.aggregate(rows, begin, step, lambda s: s["found"])
+    # spans are gathered in chunks, since adding to an array copies it
+    begin = F.struct(F.lit(0).alias("at"), _empty().alias("now"), F.array().cast(f"array<{_SPANS}>").alias("done"))
+    return F.aggregate(rows, begin, step, lambda s: F.flatten(F.array_append(s["done"], s["now"])))
 
 
 def has_assign_word(text: Column) -> Column:
@@ -118,7 +126,8 @@ def fit(docs: DataFrame, fit_docs: int = 20_000, smooth: float = 0.5) -> list[fl
 
 def ratio(token: Column, table: list[float]) -> Column:
     """The log-likelihood ratio of a token: its steps from character to character add up."""
-    values, size = F.lit(table), len(ALPHABET)
+    # one literal for all values: thousands of them would each be a node of the plan
+    values, size = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>"), len(ALPHABET)
 
     def step(state, char):
         place = F.position(char, F.lit(ALPHABET))
@@ -176,4 +185,4 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     if "n_chars" in docs.columns:
         n = F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         changed = changed.withColumn("n_chars", n)
-    return changed.select(*docs.columns)
+    return changed.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -90,3 +90,10 @@ def test_plans_have_no_python(spark, folder):
     for name in ("op6_license_scan", "op7_secret_scan"):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"password=abcdefgh{i:04d}" for i in range(5000))
+    df = spark.createDataFrame([(1, text, "m")], "doc_id long, text string, `meta.src` string")
+    (row,) = secrets.redact(df).collect()
+    assert row.text == " ".join(["[SECRET]"] * 5000) and row["meta.src"] == "m"
