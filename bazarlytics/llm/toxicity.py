@@ -94,57 +94,84 @@ class Model:
         return score
 
 
-def _matrix(rows: list[list[int]], place: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of every feature that has a place."""
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((place.get(f, -1) for fs in rows for f in fs), np.int64, int(lengths.sum()))
-    known = flat >= 0
-    return np.repeat(np.arange(len(rows)), lengths)[known], flat[known]
+@dataclass
+class Rows:
+    """Sparse rows: row and column of every entry, and the number of rows."""
+
+    row: np.ndarray
+    column: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, lists: pa.ChunkedArray) -> Rows:
+        lists = lists.combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        return cls(np.repeat(np.arange(len(lists), dtype=np.int32), lengths), lists.flatten().to_numpy(), len(lists))
 
 
 def train(
-    rows: list[list[int]], labels: np.ndarray, before: list[list[int]], after: list[list[int]],
+    names: np.ndarray, rows: Rows, labels: np.ndarray, before: Rows, after: Rows,
     counterfactual: float = 10.0, l1: float = 1e-5, steps: int = 1500,
 ) -> Model:
     """Accelerated proximal gradient on mean log loss + l1 * |w| + counterfactual * mean squared
-    change of the margin over the pairs. One label alone gives its own share as the score."""
+    change of the margin over the pairs. Columns are places in `names`. One label alone gives its
+    own share as the score."""
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(bias=30.0 if share else -30.0)
-    names = sorted({f for fs in (*rows, *before, *after) for f in fs})
-    place, n, m = {f: i for i, f in enumerate(names)}, len(labels), max(1, len(before))
-    r, c = _matrix(rows, place)
-    pr, pc = _matrix(before + after, place)
-    sign = np.where(pr < len(before), 1.0, -1.0)
-    pr = pr % max(1, len(before))
+    n, m, width, r, c = len(labels), max(1, before.n), len(names), rows.row, rows.column
+    pr, pc = np.concatenate([before.row, after.row]), np.concatenate([before.column, after.column])
+    sign = np.repeat([1.0, -1.0], [len(before.row), len(after.row)])
 
     def change(w):  # margins of the pairs, before less after
         return np.bincount(pr, sign * w[pc], m)
 
     # a step below the inverse of the curvature, found by power iteration
-    v, size = np.ones(len(names)), 1.0
+    v, size = np.ones(width), 1.0
     for _ in range(30):
-        v = np.bincount(c, np.bincount(r, v[c], n)[r], len(names)) / (4 * n) + 2 * counterfactual / m * np.bincount(
-            pc, sign * change(v)[pr], len(names)
+        v = np.bincount(c, np.bincount(r, v[c], n)[r], width) / (4 * n) + 2 * counterfactual / m * np.bincount(
+            pc, sign * change(v)[pr], width
         )
         size = float(np.linalg.norm(v)) or 1.0
         v /= size
     step = 0.9 / (size + 0.25)
-    w, bias = np.zeros(len(names)), float(np.log(share / (1 - share)))
+    w, bias = np.zeros(width), float(np.log(share / (1 - share)))
     look_w, look_b, t = w.copy(), bias, 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, look_w[c], n) + look_b, -30, 30)))
         error = (p - labels) / n
-        slope = np.bincount(c, error[r], len(names)) + 2 * counterfactual / m * np.bincount(
-            pc, sign * change(look_w)[pr], len(names)
-        )
+        slope = np.bincount(c, error[r], width) + 2 * counterfactual / m * np.bincount(pc, sign * change(look_w)[pr], width)
         new = look_w - step * slope
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_bias, t_next = look_b - step * error.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         look_w = new + (t - 1) / t_next * (new - w)
         look_b = new_bias + (t - 1) / t_next * (new_bias - bias)
         w, bias, t = new, new_bias, t_next
-    return Model(float(bias), {f: float(x) for f, x in zip(names, w) if x})
+    return Model(float(bias), {int(f): float(x) for f, x in zip(names, w) if x})
+
+
+def _placed(names: np.ndarray):
+    """A task that turns lists of features into their places in `names`, for those that have one.
+    Other columns stay; of two lists that come out equal the row is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, kind = [], pa.list_(pa.int32())
+            for lists in b.columns:
+                if not pa.types.is_list(lists.type):
+                    columns.append(lists)
+                    continue
+                found = [np.array(x, np.int32) for x in lists.to_pylist()]
+                places = [np.searchsorted(names, x) for x in found]
+                known = [p[names[np.minimum(p, len(names) - 1)] == x].astype(np.int32) for p, x in zip(places, found)]
+                columns.append(pa.array(known, kind))
+            out = pa.RecordBatch.from_arrays(columns, b.schema.names)
+            if all(c.type == kind for c in columns):
+                first, second = (c.to_pylist() for c in columns)
+                out = out.filter(pa.array([x != y for x, y in zip(first, second)], pa.bool_()))
+            yield out
+
+    return run
 
 
 def fit(
@@ -195,15 +222,14 @@ def fit(
     best = counts.where(F.col("k") >= least).select("f", ratio.alias("g")).where(F.col("g") > least_gain)
     wanted = {r.f for r in best.orderBy(F.desc("g"), "f").limit(width).collect()}
     wanted |= {f for line in IDENTITY_TERMS for term in line for f in word_features(term)}
-    keep = F.array(*map(F.lit, sorted(wanted)))
-    kept = [(r.found, r.toxic) for r in rows.select(F.array_intersect("found", keep).alias("found"), "toxic").toLocalIterator()]
-    swaps = rows.select(F.explode(F.arrays_zip("before", "after")).alias("p")).select(
-        F.array_intersect("p.before", keep).alias("x"), F.array_intersect("p.after", keep).alias("y")
-    )
-    swaps = swaps.where("x <> y").limit(pairs).collect()
-    return train(
-        [f for f, _ in kept], np.array([y for _, y in kept], float), [r.x for r in swaps], [r.y for r in swaps], **options
-    )
+    names = np.array(sorted(wanted), np.int32)
+    if n > fit_rows:  # an id may have many rows
+        rows = rows.limit(fit_rows)
+    kept = rows.select("toxic", "found").mapInArrow(_placed(names), "toxic int, found array<int>").toArrow()
+    swaps = rows.select(F.explode(F.arrays_zip("before", "after")).alias("p")).select("p.before", "p.after")
+    swaps = swaps.mapInArrow(_placed(names), "before array<int>, after array<int>").limit(pairs).toArrow()
+    toxic = kept.column("toxic").to_numpy().astype(float)
+    return train(names, Rows.of(kept.column("found")), toxic, Rows.of(swaps.column("before")), Rows.of(swaps.column("after")), **options)
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:

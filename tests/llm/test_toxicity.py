@@ -59,7 +59,15 @@ def test_odd_rows(spark, table):
     marked = spark.createDataFrame([(i, y, 0) for i, y in labels], "doc_id long, toxic int, quality int")
     got = QUERIES["op3_counterfactual_toxicity"](spark, table(documents=docs, labels=marked)).collect()
     by = {r.doc_id: r.predicted for r in got}
-    assert len(got) == len(rows) and by[1] == by[2] == by[None] == 0 and by[3] == by[11] == 1 and by[12] == 0
+    assert len(got) == len(rows) and all(r.held_out is not None for r in got) and by[1] == by[2] == by[None] == 0 and by[3] == by[11] == 1 and by[12] == 0
     none = QUERIES["op3_counterfactual_toxicity"](spark, table(documents=docs, labels=marked.limit(0))).collect()
     assert {r.predicted for r in none} == {0} and all(0 <= r.score <= 1 for r in none)
     assert QUERIES["op3_counterfactual_toxicity"](spark, table(documents=docs.limit(0), labels=marked)).collect() == []
+
+
+def test_a_repeated_id_does_not_widen_the_fit(spark):
+    rows = [(i % 3, f"{'vile' if i % 3 else 'fine'} text {i % 7}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, toxic int")
+    score = toxicity.fit(docs, labels, fit_rows=60).scorer()
+    assert score("vile text") > 0.5 > score("fine text")
