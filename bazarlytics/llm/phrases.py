@@ -27,7 +27,7 @@ from bazarlytics.llm.common import batch, store, utf8
 #: Characters that end a piece; a tab parts words like a space.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _MAP = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-SLICE = 12_000_000  # bytes of text that a task looks at together
+SLICE = 4_000_000  # bytes of text that a task looks at together
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 PROBES = 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
