@@ -116,22 +116,32 @@ def dim_products(products: DataFrame, categories: DataFrame, items: DataFrame) -
     )
 
 
-def dim_sellers(
-    sellers: DataFrame, items: DataFrame, orders: DataFrame, reviews: DataFrame
-) -> DataFrame:
-    """Sellers with sales, review and delivery measures, all from one (seller, order) frame.
-
-    Review and delivery averages weigh an order by the seller's lines in it. The on-time
-    count includes shipped orders while its denominator holds delivered ones only.
-    """
+def seller_baskets(items: DataFrame) -> DataFrame:
+    """Mergeable (seller, order) subtotals of the staged lines."""
     price, freight = F.col("price"), F.col("freight_value")
-    baskets = items.groupBy("seller_id", "order_id").agg(
+    return items.groupBy("seller_id", "order_id").agg(
         F.count("*").alias("lines"),
         F.sum(price).alias("revenue"),
         F.count(price).alias("priced"),
         F.sum(freight).alias("freight"),
         F.count(freight).alias("freighted"),
     )
+
+
+def dim_sellers(
+    sellers: DataFrame,
+    items: DataFrame,
+    orders: DataFrame,
+    reviews: DataFrame,
+    baskets: DataFrame | None = None,
+) -> DataFrame:
+    """Sellers with sales, review and delivery measures, all from one (seller, order) frame;
+    ``baskets`` are the stored seller_baskets().
+
+    Review and delivery averages weigh an order by the seller's lines in it. The on-time
+    count includes shipped orders while its denominator holds delivered ones only.
+    """
+    baskets = seller_baskets(items) if baskets is None else baskets
     header = orders.select(
         "order_id",
         "order_status",

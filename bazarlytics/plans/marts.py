@@ -381,8 +381,10 @@ def mart_executive_dashboard(
     )
 
 
-def _baskets(items: DataFrame, key: str) -> DataFrame:
-    """(key, order) subtotals of ``fct_order_items``: sums, extremes and per-order flags."""
+def order_subtotals(items: DataFrame, key: str) -> DataFrame:
+    """(key, order) subtotals of ``fct_order_items``: sums, extremes, per-order flags and the
+    order's place. All of them merge, so a stored table answers every measure of the key
+    without another look at the lines."""
     price, freight = F.col("item_price"), F.col("freight_value")
     return items.groupBy(key, "order_id").agg(
         F.count("*").alias("lines"),
@@ -397,6 +399,8 @@ def _baskets(items: DataFrame, key: str) -> DataFrame:
         F.max(price).alias("max_price"),
         F.min("order_purchase_timestamp").alias("bought"),
         F.max("order_purchase_timestamp").alias("bought_last"),
+        F.min("customer_state").alias("customer_state"),
+        F.min("customer_zip_code_prefix").alias("customer_zip_code_prefix"),
         *[
             any_true(F.col(source)).alias(name)
             for name, source in {
@@ -432,10 +436,10 @@ def _basket_totals(baskets: DataFrame, key: str, *more: Column) -> DataFrame:
     )
 
 
-def _reach(items: DataFrame, key: str) -> DataFrame:
-    """Customer states and zip prefixes a key sells to, and its most frequent state."""
-    spots = items.groupBy(key, "customer_state", "customer_zip_code_prefix").agg(
-        F.count("*").alias("n")
+def _reach(baskets: DataFrame, key: str) -> DataFrame:
+    """Customer states and zip prefixes a key sells to, and its most frequent state by lines."""
+    spots = baskets.groupBy(key, "customer_state", "customer_zip_code_prefix").agg(
+        F.sum("lines").alias("n")
     )
     zips = spots.groupBy(key).agg(
         F.countDistinct("customer_zip_code_prefix").alias("unique_customer_locations")
@@ -447,9 +451,15 @@ def _reach(items: DataFrame, key: str) -> DataFrame:
 
 
 def mart_product_performance(
-    products: DataFrame, categories: DataFrame, items: DataFrame, reviews: DataFrame
+    products: DataFrame,
+    categories: DataFrame,
+    items: DataFrame,
+    reviews: DataFrame,
+    baskets: DataFrame | None = None,
 ) -> DataFrame:
-    baskets = _baskets(items, "product_id")
+    """Product sales, reach, reviews, vendors and score; ``baskets`` are the stored
+    order_subtotals() of the products, without which the lines are read for each use."""
+    baskets = order_subtotals(items, "product_id") if baskets is None else baskets
     sales = _basket_totals(baskets, "product_id")
     rated = review_profile(baskets.select("product_id", "order_id", "lines"), "product_id", reviews)
     vendors = value_profile(items, ["product_id"], "seller_id", "unique_sellers", "primary_seller_id")
@@ -467,7 +477,7 @@ def mart_product_performance(
     )
     joined = (
         base.join(sales, "product_id", "left")
-        .join(_reach(items, "product_id"), "product_id", "left")
+        .join(_reach(baskets, "product_id"), "product_id", "left")
         .join(rated, "product_id", "left")
         .join(vendors, "product_id", "left")
         .join(groups, "product_category_name", "left")
@@ -545,10 +555,14 @@ def _distinct_per_day(sold: DataFrame, key: str, name: str) -> DataFrame:
     return sold.groupBy("date_key", key).count().groupBy("date_key").agg(F.count(key).alias(name))
 
 
-def mart_seller_scorecard(sellers: DataFrame, geography: DataFrame, items: DataFrame) -> DataFrame:
-    """Seller sales, reach, recent activity, percentile rank and weighted score."""
-    newest = items.agg(F.max("order_purchase_timestamp")).scalar()
-    baskets = _baskets(items, "seller_id").withColumns(
+def mart_seller_scorecard(
+    sellers: DataFrame, geography: DataFrame, items: DataFrame, baskets: DataFrame | None = None
+) -> DataFrame:
+    """Seller sales, reach, recent activity, percentile rank and weighted score; ``baskets`` are
+    the stored order_subtotals() of the sellers."""
+    baskets = order_subtotals(items, "seller_id") if baskets is None else baskets
+    newest = baskets.agg(F.max("bought_last")).scalar()
+    baskets = baskets.withColumns(
         {"age": day_gap("bought", newest), "month": month_start("bought")}
     )
     n, total = F.sum("price_n"), F.sum("price_sum").cast("decimal(18,2)")
@@ -588,7 +602,7 @@ def mart_seller_scorecard(sellers: DataFrame, geography: DataFrame, items: DataF
     joined = (
         ranked.join(places, F.col("seller_zip_code_prefix") == F.col("zip_code_prefix"), "left")
         .join(sales, "seller_id", "left")
-        .join(_reach(items, "seller_id"), "seller_id", "left")
+        .join(_reach(baskets, "seller_id"), "seller_id", "left")
         .join(range_, "seller_id", "left")
         .withColumn("same_state_order_rate", percent("same_state", "line_orders"))
     )

@@ -7,16 +7,18 @@ models stay lazy and are inlined into the facts that use them.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from bazarlytics.plans import dimensions as dim
 from bazarlytics.plans import facts as fct
 from bazarlytics.plans import intermediate as inter
 from bazarlytics.plans import marts as mart
 from bazarlytics.plans import staging as stg
+from bazarlytics.quality.checks import Check, scan_counts
 from bazarlytics.session import scratch_path
 from bazarlytics.sources.files import append_table, write_table
 from bazarlytics.sources.schemas import MODEL_HISTORY
@@ -35,12 +37,17 @@ class Warehouse:
         path: str | None = None,
         as_of: str | None = None,
         dedup_reviews: bool = False,
+        checks: Sequence[Check] = (),
     ):
+        """Of the checks, the row and total rules of every model are counted while it is written;
+        ``observed`` has their failures by name."""
         self.spark = spark
         self.raw = raw
         self.path = path or scratch_path(spark, "warehouse")
         self.as_of = as_of
         self.dedup_reviews = dedup_reviews
+        self.checks = checks
+        self.observed: dict[str, int] = {}
         self.seconds: dict[str, float] = {}
         self._stored: dict[str, DataFrame] = {}
         self._sources: dict[str, DataFrame] = {}
@@ -60,13 +67,27 @@ class Warehouse:
             return self.plan(name)
         if name not in self._stored:
             before, began = sum(self.seconds.values()), time.monotonic()
-            self._stored[name] = write_table(
-                self.plan(name), f"{self.path}/{name}", PARTITION_BY.get(name)
-            )
+            self._stored[name] = self._write(name)
             inputs = sum(self.seconds.values()) - before
             self.seconds[name] = time.monotonic() - began - inputs
         return self._stored[name]
 
+    def _write(self, name: str) -> DataFrame:
+        counts = scan_counts([c for c in self.checks if c.table == name])
+        metrics = [F.expr(count).alias(check) for check, count in counts.items()]
+        observation = Observation(f"checks_{name}") if metrics else None
+        table = write_table(
+            self.plan(name), f"{self.path}/{name}", PARTITION_BY.get(name), observation, metrics
+        )
+        if observation:
+            self.observed.update({k: int(v) for k, v in observation.get.items() if v is not None})
+        return table
+
+    def observed_checks(self) -> DataFrame:
+        """One row (name, failures) per check that the writes have counted so far."""
+        rows = sorted(self.observed.items())
+        return self.spark.createDataFrame(rows, "name string, failures long")
+
     def stored(self, name: str, plan: Callable[[Warehouse], DataFrame]) -> DataFrame:
         """Any frame over the warehouse as a table, stored on first use."""
         if name not in self._stored:
@@ -119,6 +140,17 @@ def _context(w: Warehouse) -> DataFrame:
     )
 
 
+def _subtotals(w: Warehouse, key: str) -> DataFrame:
+    """Order subtotals of the line fact per product or seller, stored once."""
+    return w.stored(
+        f"{key}_order_subtotals", lambda w: mart.order_subtotals(w["fct_order_items"], f"{key}_id")
+    )
+
+
+def _seller_baskets(w: Warehouse) -> DataFrame:
+    return w.stored("seller_baskets", lambda w: dim.seller_baskets(w["stg_order_items"]))
+
+
 MODELS: dict[str, Callable[[Warehouse], DataFrame]] = {
     **{name: _staging(name) for name in stg.MODELS},
     "int_orders_enriched": lambda w: inter.int_orders_enriched(
@@ -143,7 +175,8 @@ MODELS: dict[str, Callable[[Warehouse], DataFrame]] = {
         w["stg_products"], w["stg_category_translation"], w["stg_order_items"]
     ),
     "dim_sellers": lambda w: dim.dim_sellers(
-        w["stg_sellers"], w["stg_order_items"], w["stg_orders"], w["stg_reviews"]
+        w["stg_sellers"], w["stg_order_items"], w["stg_orders"], w["stg_reviews"],
+        _seller_baskets(w),
     ),
     "dim_category": lambda w: dim.dim_category(
         w["stg_category_translation"], w["stg_products"], w["stg_order_items"]
@@ -163,10 +196,11 @@ MODELS: dict[str, Callable[[Warehouse], DataFrame]] = {
         fanout_safe=True,
     ),
     "mart_product_performance": lambda w: mart.mart_product_performance(
-        w["dim_products"], w["dim_category"], w["fct_order_items"], w["fct_reviews"]
+        w["dim_products"], w["dim_category"], w["fct_order_items"], w["fct_reviews"],
+        _subtotals(w, "product"),
     ),
     "mart_seller_scorecard": lambda w: mart.mart_seller_scorecard(
-        w["dim_sellers"], w["dim_geography"], w["fct_order_items"]
+        w["dim_sellers"], w["dim_geography"], w["fct_order_items"], _subtotals(w, "seller")
     ),
 }
 

@@ -3,10 +3,15 @@
 Rules come in three kinds. A row rule is a SQL condition on single rows and a total rule a
 SQL condition on a table's aggregates: all of these for one table are counted in a single
 scan. A set rule needs its own joins or grouping and yields its failing rows as a frame.
+Rules on keys are set rules too, but those of all tables are counted together, in one shuffle.
+
+Row and total rules can also be counted while a table is written: a warehouse that is given
+checks observes them in the write itself, and the runner then needs no scan for them.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -26,7 +31,8 @@ class Check:
 
     Exactly one of ``row``, ``total`` and ``rows`` is set: the condition of a failing row,
     a condition on aggregates that holds when the table fails, or a function to the
-    failing rows. An unknown condition passes.
+    failing rows. An unknown condition passes. A rule on keys also names its key columns
+    in ``keys``, and a reference the (table, column) it points to in ``parent``.
     """
 
     name: str
@@ -34,6 +40,8 @@ class Check:
     row: str | None = None
     total: str | None = None
     rows: Callable[[Tables], DataFrame] | None = None
+    keys: tuple[str, ...] = ()
+    parent: tuple[str, str] | None = None
     severity: str = "warn"
     tags: tuple[str, ...] = field(default=())
 
@@ -150,6 +158,7 @@ def unique(table: str, *columns: str, **options) -> Check:
         f"unique_{table}_{'_'.join(columns)}",
         table,
         rows=lambda t: duplicates(t[table], columns),
+        keys=columns,
         **options,
     )
 
@@ -165,6 +174,8 @@ def relationships(table: str, column: str, parent: str, parent_column: str, **op
         f"relationships_{table}_{column}",
         table,
         rows=lambda t: orphans(t[table], column, t[parent], parent_column),
+        keys=(column,),
+        parent=(parent, parent_column),
         **options,
     )
 
@@ -292,26 +303,111 @@ def select(checks: Sequence[Check], *tags: str, severity: str | None = None) ->
     ]
 
 
+def scan_counts(checks: Sequence[Check]) -> dict[str, str]:
+    """The number of failures of every row and total rule, by name, as an aggregate in SQL."""
+    return {
+        c.name: f"count_if({c.row})" if c.row is not None else f"bigint(if({c.total}, 1, 0))"
+        for c in checks
+        if c.rows is None
+    }
+
+
+def _known(tables: Tables, names: Sequence[str]) -> dict[str, int]:
+    """Counts that the tables' own write has already observed."""
+    seen = getattr(tables, "observed", {})
+    return {n: seen[n] for n in names if n in seen}
+
+
+def _listed(source: DataFrame, counts: Mapping[str, object]) -> DataFrame:
+    """One row (name, failures) per entry, from a frame of one row or of aggregates."""
+    pairs = ", ".join(f"{literal(name)}, {count}" for name, count in counts.items())
+    return source.selectExpr(f"stack({len(counts)}, {pairs}) AS (name, failures)")
+
+
+def scan_failures(checks: Sequence[Check], tables: Tables) -> list[DataFrame]:
+    """Frames (name, failures) of the row and total rules: one scan for each table of which
+    the write did not observe them."""
+    parts: list[DataFrame] = []
+    for table in dict.fromkeys(c.table for c in checks if c.rows is None):
+        counts: dict[str, object] = scan_counts([c for c in checks if c.table == table])
+        df = tables[table]
+        known = _known(tables, list(counts))
+        if known:
+            one = df.sparkSession.range(1)
+            parts.append(_listed(one, {n: f"{k}L" for n, k in known.items()}))
+        if rest := {n: e for n, e in counts.items() if n not in known}:
+            parts.append(_listed(df, rest))
+    return parts
+
+
+def _key(columns: Sequence[str]) -> Column:
+    """A key as text, null if a part is unknown; lengths keep the parts of a pair apart."""
+    texts = [F.col(c).cast("string") for c in columns]
+    if len(texts) == 1:
+        return texts[0]
+    return F.concat(*(part for t in texts for part in (F.length(t).cast("string"), F.lit(":"), t)))
+
+
+def key_failures(checks: Sequence[Check], tables: Tables) -> DataFrame:
+    """One row (name, failures) for each rule on keys, from one scan per table and one shuffle.
+
+    Every key space, the columns of a table that must be unique or are referred to, has a
+    number. Tables send their own keys with slot 0 and their references with the slot of
+    the rule, counts combine before the shuffle, and a key's counts then show both its
+    repetitions and the references it is missing for.
+    """
+    spaces: dict[tuple[str, tuple[str, ...]], dict[int, str]] = {}
+    sent: dict[str, list[Column]] = {}
+
+    def send(table: str, space: int, slot: int, columns: Sequence[str]) -> None:
+        entry = F.struct(F.lit(space).alias("space"), F.lit(slot).alias("slot"), _key(columns).alias("key"))
+        sent.setdefault(table, []).append(entry)
+
+    for c in checks:
+        own = (c.parent[0], (c.parent[1],)) if c.parent else (c.table, c.keys)
+        if own not in spaces:
+            spaces[own] = {}
+            send(own[0], list(spaces).index(own), 0, own[1])
+        slots = spaces[own]
+        slot = max([0, *slots]) + 1 if c.parent else 0
+        slots[slot] = c.name
+        if c.parent:
+            send(c.table, list(spaces).index(own), slot, c.keys)
+    streams = [
+        tables[table].select(F.inline(F.array(*entries))).where("key IS NOT NULL")
+        for table, entries in sent.items()
+    ]
+    width = 1 + max(slot for slots in spaces.values() for slot in slots)
+    counts = union_all(streams).groupBy("space", "key").agg(
+        *(F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(width))
+    )
+    orphan = [F.sum(F.when(F.col("n0") == 0, F.col(f"n{i}")).otherwise(0)) for i in range(1, width)]
+    found = counts.groupBy("space").agg(
+        F.array(F.count_if(F.col("n0") > 1), *(F.coalesce(o, F.lit(0)) for o in orphan)).alias("failures")
+    )
+    names = [(i, slot, name) for i, slots in enumerate(spaces.values()) for slot, name in slots.items()]
+    rules = streams[0].sparkSession.range(1).selectExpr(
+        "inline(array(" + ", ".join(f"struct({i} AS space, {s} AS slot, {literal(n)} AS name)" for i, s, n in names) + "))"
+    )
+    failures = F.coalesce(F.get("failures", F.col("slot")), F.lit(0)).cast("long")
+    return rules.join(found, "space", "left").select("name", failures.alias("failures"))
+
+
+def set_failures(check: Check, tables: Tables) -> DataFrame:
+    counted = check.rows(tables).agg(F.count("*").alias("failures"))
+    return counted.select(F.lit(check.name).alias("name"), "failures")
+
+
 def failure_counts(checks: Sequence[Check], tables: Tables) -> DataFrame:
     """One row (name, failures) per check.
 
-    Row and aggregate rules of a table share one scan and one aggregation.
+    Row and total rules of a table share one scan and one aggregation, or none if the table's
+    write observed them; rules on keys share one shuffle.
     """
-    parts: list[DataFrame] = []
-    for table in dict.fromkeys(c.table for c in checks):
-        mine = [c for c in checks if c.table == table and c.rows is None]
-        if mine:
-            counts = [
-                f"{literal(c.name)}, "
-                + (f"count_if({c.row})" if c.row else f"bigint(if({c.total}, 1, 0))")
-                for c in mine
-            ]
-            counted = f"stack({len(mine)}, {', '.join(counts)}) AS (name, failures)"
-            parts.append(tables[table].selectExpr(counted))
-    for c in checks:
-        if c.rows is not None:
-            counted = c.rows(tables).agg(F.count("*").alias("failures"))
-            parts.append(counted.select(F.lit(c.name).alias("name"), "failures"))
+    parts = scan_failures(checks, tables)
+    if keyed := [c for c in checks if c.keys]:
+        parts.append(key_failures(keyed, tables))
+    parts += [set_failures(c, tables) for c in checks if c.rows is not None and not c.keys]
     return union_all(parts)
 
 
@@ -320,6 +416,10 @@ def run_checks(checks: Sequence[Check], tables: Tables) -> DataFrame:
     names = [c.name for c in checks]
     if len(names) != len(set(names)):
         raise ValueError("check names must be unique")
+    return _judged(failure_counts(checks, tables), checks)
+
+
+def _judged(counts: DataFrame, checks: Sequence[Check]) -> DataFrame:
     serious = [c.name for c in checks if c.severity == "error"]
     severity = F.when(F.col("name").isin(serious), "error").otherwise("warn")
     status = (
@@ -327,13 +427,35 @@ def run_checks(checks: Sequence[Check], tables: Tables) -> DataFrame:
         .when(F.col("severity") == "error", "fail")
         .otherwise("warn")
     )
-    return (
-        failure_counts(checks, tables)
-        .withColumn("severity", severity)
-        .select("name", "severity", "failures", status.alias("status"))
+    kept = [c for c in counts.columns if c not in ("name", "failures")]
+    return counts.withColumn("severity", severity).select(
+        "name", "severity", "failures", status.alias("status"), *kept
     )
 
 
+def timed_checks(checks: Sequence[Check], tables: Tables) -> DataFrame:
+    """The summary of run_checks() with the seconds that each check's job took.
+
+    Rules that share a job share its seconds: those of one table's scan, and all rules on
+    keys. There is one row per check, so what comes to the driver does not grow with the data.
+    """
+    scans = {t: [c for c in checks if c.table == t and c.rows is None] for t in dict.fromkeys(c.table for c in checks)}
+    groups: list[Callable[[], DataFrame]] = [
+        (lambda mine=mine: union_all(scan_failures(mine, tables))) for mine in scans.values() if mine
+    ]
+    if keyed := [c for c in checks if c.keys]:
+        groups.append(lambda: key_failures(keyed, tables))
+    groups += [(lambda c=c: set_failures(c, tables)) for c in checks if c.rows is not None and not c.keys]
+    rows, spark = [], None
+    for group in groups:
+        began = time.monotonic()
+        counted = group()
+        found = counted.collect()
+        spent, spark = time.monotonic() - began, counted.sparkSession
+        rows += [(r["name"], r["failures"], spent) for r in found]
+    return _judged(spark.createDataFrame(rows, "name string, failures long, seconds double"), checks)
+
+
 def store_failures(check: Check, tables: Tables, folder: str) -> str:
     """Write a check's failing rows under ``test_failures`` and return the path."""
     path = f"{folder.rstrip('/')}/test_failures/{check.name}"

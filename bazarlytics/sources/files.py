@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,15 +90,25 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+def write_table(
+    df: DataFrame,
+    path: str,
+    partition_by: str | None = None,
+    observation: Observation | None = None,
+    metrics: Sequence[Column] = (),
+) -> DataFrame:
     """Replace a table and return it as read back.
 
     With a partition column the rows are rebalanced first: AQE merges small partitions and
     splits large ones, so neither tiny files nor one huge task result from a hot value.
+    Metrics are aggregates over the rows that the write itself takes for the observation; they
+    come last, in the stage that writes, where a task that is run again counts once.
     """
     writer = df
     if partition_by:
         writer = df.hint("rebalance", partition_by)
+    if metrics:
+        writer = writer.observe(observation, *metrics)
     writer = writer.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)

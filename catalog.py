@@ -40,7 +40,7 @@ _warehouses: dict[tuple[str, str], Warehouse] = {}
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _warehouses:
-        _warehouses[key] = retail_warehouse(tune(spark), folder)
+        _warehouses[key] = retail_warehouse(tune(spark), folder, checks=suite.all_checks(AS_OF))
     return _warehouses[key]
 
 
@@ -254,9 +254,7 @@ RUN_DAY = "2024-01-31"
 
 
 def _suite(w: Warehouse) -> DataFrame:
-    """Every declared and business check except the one on column order."""
-    chosen = [c for c in suite.all_checks(AS_OF) if not c.name.startswith("column_order")]
-    return checks.run_checks(chosen, w)
+    return checks.run_checks(suite.all_checks(AS_OF), w)
 
 
 def _suite_results(w: Warehouse) -> DataFrame:
@@ -329,6 +327,12 @@ CHECKS: dict[str, Query] = {
         w["fct_order_items"], "freight_percentage"
     ),
     **{f"check_{c.name}": c.failing for c in business.business_checks()},
+    "check_column_order": lambda w: checks.columns_match(
+        w["dim_category"], sorted(suite.CATEGORY_COLUMNS)
+    ),
+    "check_slowest": lambda w: profile.slowest_checks(
+        checks.timed_checks(suite.all_checks(AS_OF), w)
+    ),
     "check_freshness": lambda w: union_all(
         [
             checks.freshness(w[f"raw_{source}"], source, column, warn, error, AS_OF)

@@ -18,6 +18,16 @@ def _bounds(column: str, low, high) -> str:
     return " OR ".join(parts)
 
 
+def _column_order(expected: list[str]) -> str:
+    """Places at which the columns of dim_category, read from one of its rows, are not the expected."""
+    return f"""
+        SELECT CAST(i AS INTEGER) AS position, e AS expected, a AS actual
+        FROM (SELECT unnest({listing(expected).replace("(", "[").replace(")", "]")}) AS e, unnest(range(1, {len(expected) + 1})) AS i) x
+        FULL JOIN (SELECT unnest(k) AS a, unnest(range(1, len(k) + 1)) AS i
+            FROM (SELECT json_keys(to_json(c)) AS k FROM dim_category c LIMIT 1)) y USING (i)
+        WHERE e IS DISTINCT FROM a"""
+
+
 def _counts() -> list[tuple[str, str, str]]:
     """(check, severity, SQL for the number of failures) of the whole suite."""
     out: list[tuple[str, str]] = []
@@ -67,6 +77,10 @@ def _counts() -> list[tuple[str, str, str]]:
             f"SELECT if(date_diff('day', max(order_purchase_timestamp), DATE '{AS_OF}') > 730, 1, 0) FROM raw_orders",
         ),
     ]
+    out.append((
+        "column_order_dim_category",
+        f"SELECT count(*) FROM ({_column_order(suite.CATEGORY_COLUMNS)})",
+    ))
     for table, column in suite.TEXT_COLUMNS:
         out.append((f"column_type_{table}_{column}", f"SELECT count(*) FROM (SELECT any_value(typeof({column})) AS t FROM {table}) WHERE t <> 'VARCHAR'"))
     declared = [(name, "warn", sql) for name, sql in out]
@@ -198,6 +212,7 @@ CHECKS = {
             FROM (SELECT date_diff('day', max({c}), DATE '{AS_OF}') AS age_days FROM raw_{s})"""
         for s, c, warn, error in suite.FRESHNESS
     ),
+    "check_column_order": _column_order(sorted(suite.CATEGORY_COLUMNS)),
     "check_suite": _SUITE,
     "check_status_summary": f"""
         SELECT status, count(*) AS checks, {num("100.0 * count(*) / sum(count(*)) OVER ()", "percentage")} FROM ({_SUITE}) r GROUP BY status""",

@@ -4,9 +4,10 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from bazarlytics.plans import dimensions, intermediate, marts, staging
-from bazarlytics.plans.warehouse import Warehouse
+from bazarlytics.plans.warehouse import Warehouse, retail_warehouse
 from bazarlytics.sources.schemas import RAW
 
 DAY = dt.datetime(2018, 3, 10, 9, 30)
@@ -232,3 +233,36 @@ def test_seller_health(frame, score, kept, recent, label):
 
 def test_staging_models_cover_all_sources():
     assert {source for _, source in staging.MODELS.values()} == set(RAW)
+
+
+@pytest.mark.parametrize("name, table", [
+    ("mart_product_performance", "fct_order_items"), ("mart_seller_scorecard", "fct_order_items"), ("dim_sellers", "stg_order_items"),
+])
+def test_lines_are_read_once_beside_stored_subtotals(spark, name, table):
+    shop = retail_warehouse(spark, "/root/testdata/sf0.001")
+    plan = shop.plan(name)._jdf.queryExecution().optimizedPlan()
+    read = [str(leaf) for leaf in _leaves(plan)]
+    lines = shop[table].columns
+    subtotals = [r for r in read if "lines#" in r]
+    assert sum(lines[0] + "#" in r and "order_item_id#" in r for r in read) <= 2 and len(subtotals) >= 1
+
+
+def _leaves(plan):
+    found = plan.collectLeaves()
+    return [found.apply(i).output().toString() for i in range(found.size())]
+
+
+@pytest.mark.parametrize("key, stored", [("product_id", "product_order_subtotals"), ("seller_id", "seller_order_subtotals")])
+def test_subtotals_merge_to_the_totals_of_the_lines(spark, key, stored):
+    shop = retail_warehouse(spark, "/root/testdata/sf0.001")
+    shop["mart_product_performance"], shop["mart_seller_scorecard"]
+    lines, parts = shop["fct_order_items"], shop._stored[stored]
+    want = lines.groupBy(key).agg(
+        F.count("*").alias("n"), F.countDistinct("order_id").alias("orders"), F.sum("item_price").alias("revenue"),
+        F.min("item_price").alias("low"), F.max("order_purchase_timestamp").alias("last"), F.countDistinct("customer_state").alias("states"),
+    )
+    got = parts.groupBy(key).agg(
+        F.sum("lines").alias("n"), F.count("order_id").alias("orders"), F.sum("price_sum").alias("revenue"),
+        F.min("min_price").alias("low"), F.max("bought_last").alias("last"), F.countDistinct("customer_state").alias("states"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from bazarlytics.plans.warehouse import retail_warehouse
 from bazarlytics.quality import business, checks, profile, suite
 
 
@@ -210,3 +211,71 @@ def test_row_level_business_rules(frame):
         "o1": "Approved before purchase", "o2": "Delivered before purchase", "o3": "Delivered before approval",
     }
     assert ids(business.geography_without_entities(t), "zip_code_prefix") == ["1", "2"]
+
+
+@pytest.fixture(scope="module")
+def observed_warehouse(spark):
+    shop = retail_warehouse(spark, "/root/testdata/sf0.001", checks=suite.all_checks("2001-12-31"))
+    shop.build()
+    return shop
+
+
+def test_counts_observed_in_the_write_equal_a_scan(observed_warehouse):
+    shop = observed_warehouse
+    chosen = [c for c in suite.all_checks("2001-12-31") if c.rows is None and not c.table.startswith("raw_")]
+    plain = {name: shop[name] for name in {c.table for c in chosen}}
+    scanned = {r.name: r.failures for r in checks.failure_counts(chosen, plain).collect()}
+    assert len(scanned) > 150 and any(scanned.values())
+    assert {r.name: r.failures for r in shop.observed_checks().collect()} == scanned == shop.observed
+
+
+def test_observed_rules_need_no_scan(observed_warehouse):
+    chosen = [c for c in suite.all_checks("2001-12-31") if c.rows is None and c.table.startswith("fct_")]
+    plan = checks.failure_counts(chosen, observed_warehouse)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan
+
+
+def test_all_key_rules_share_one_shuffle(observed_warehouse):
+    keyed = [c for c in suite.all_checks() if c.keys and not c.table.startswith("raw_")]
+    plan = checks.key_failures(keyed, observed_warehouse)._jdf.queryExecution().executedPlan().toString()
+    scans = plan.count("FileScan parquet")
+    assert scans <= len({t for c in keyed for t in (c.table, c.parent[0] if c.parent else c.table)}) < len(keyed)
+    assert plan.count("hashpartitioning(space#") <= 2 + 1
+
+
+def test_key_rules_against_each_by_itself(frame):
+    schema = "a int, b string, c long"
+    child = [(1, "x", 1), (1, "x", 1), (None, "x", 7), (5, None, 7), (5, "1:x", None), (9, "x", 2)]
+    tables = {
+        "child": frame(child, schema),
+        "parent": frame([(1, "y", 1), (1, "y", 1), (2, None, 5), (None, "x", 2)], schema),
+        "none": frame([], schema),
+    }
+    chosen = [
+        checks.unique("child", "a"), checks.unique("child", "a", "b"), checks.unique("child", "a", "b", "c"),
+        checks.unique("parent", "a"), checks.unique("none", "a"),
+        checks.relationships("child", "a", "parent", "a"), checks.relationships("child", "c", "parent", "c"),
+        checks.relationships("child", "b", "none", "b"), checks.relationships("none", "a", "parent", "c"),
+        checks.relationships("parent", "c", "parent", "a"),
+    ]
+    want = {c.name: c.failing(tables).count() for c in chosen}
+    got = {r.name: r.failures for r in checks.key_failures(chosen, tables).collect()}
+    assert got == want and sum(map(bool, want.values())) >= 6
+
+
+def test_timed_checks_agree_and_carry_seconds(frame):
+    tables = {"t": frame([(1, None), (1, "x")], "a int, b string")}
+    chosen = [checks.unique("t", "a"), checks.not_null("t", "b", severity="error"), checks.valid_state("t", "b")]
+    timed = checks.timed_checks(chosen, tables)
+    assert {tuple(r)[:4] for r in timed.collect()} == {tuple(r) for r in checks.run_checks(chosen, tables).collect()}
+    assert all(r.seconds > 0 for r in timed.collect())
+    assert [r.name for r in profile.slowest_checks(timed, 1).collect()]
+
+
+def test_hot_key_is_counted_before_the_shuffle(spark):
+    rows = spark.range(200_000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS v")
+    tables = {"t": rows, "p": spark.range(100).selectExpr("id AS k")}
+    chosen = [checks.unique("t", "k"), checks.relationships("t", "k", "p", "k")]
+    got = {r.name: r.failures for r in checks.key_failures(chosen, tables).collect()}
+    known = 66_667 + sum(1 for i in range(100) if i % 3 and i != 7) + 1
+    assert got == {"unique_t_k": 1, "relationships_t_k": 200_000 - known}
