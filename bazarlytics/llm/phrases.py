@@ -1,10 +1,10 @@
 """Phrase collocations, mined by Toivonen's method with exact counts.
 
 A sample of the documents proposes the phrases that are frequent there at a lowered bound.
-One pass over all documents then counts, exactly, every phrase whose beginning and ending
-without a word are proposed: the proposals and their negative border. A border phrase that
-proves frequent may have frequent extensions nobody counted, so further passes count what
-such failures open up, until nothing frequent is left outside.
+One pass over all documents then counts every phrase whose beginning and ending without a
+word are proposed: the proposals by their words, and their negative border by hashes, whose
+sums bound the counts from above. What the border may hold of frequent phrases is a failure:
+further passes count it and all that it opens up exactly, until no failure is left.
 
 The proposals travel as a Bloom filter of bounded size. What it lets through by mistake is
 counted as well, so that its size decides the work and never the result.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -122,60 +123,67 @@ def member(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def counted_in(
-    words: Words, low: int, high: int, now: np.ndarray | None, trusted: int, old: np.ndarray | None, leap: bool
-) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
-    """(size, languages, phrases, counts) of the phrases of low to high words to be counted.
+@dataclass(frozen=True)
+class Pass:
+    """What a pass over texts counts: phrases of low to high words whose beginning and ending
+    without a word are open.
 
-    A phrase is counted if its beginning and its ending without a word are open; a counted
-    phrase is open if the filter `now` has it, or if it has more than `trusted` words. With a
-    filter `old`, only phrases that it does not open count; `leap` opens those at once.
+    Those that the filter `now` has, or that have more than `trusted` words, are open themselves
+    and counted by their words; the others, the border, by a hash of 64 bits. A sum over a hash
+    is never below a phrase's own count, so a border phrase below the bound is done with. After
+    a pass with the filter `old` only what that pass did not count is counted; with `leap`, new
+    phrases are all open.
     """
-    hashed, codes = None, None
-    opened = was_open = None
-    for size in range(1, high + 1):
-        n = len(words) - size + 1
-        if n <= 0:
-            return
-        fits = words.within(size)
-        if opened is not None:
-            fits = fits & opened[:n] & opened[1 : n + 1]
-        new = fits
-        if old is not None:
-            seen = words.within(size) if was_open is None else words.within(size) & was_open[:n] & was_open[1 : n + 1]
-            new = fits & ~seen
-        if now is not None or old is not None:
-            hashed = words.hashes(size, hashed)
-        opened = fits if now is None or size > trusted else fits & member(now, hashed)
-        if old is not None:
-            was_open = seen & member(old, hashed)
-            if leap:
-                opened = opened | new
-        places = np.flatnonzero(new)
-        incremental = old is None
-        if not len(places):
-            if incremental:
+
+    low: int
+    high: int
+    now: np.ndarray | None = None
+    trusted: int = 99
+    old: np.ndarray | None = None
+    leap: bool = False
+
+    def counts(self, words: Words) -> Iterator[tuple[int, pa.Array | None, pa.Array | None, np.ndarray | None, np.ndarray]]:
+        """(size, languages, phrases, None, counts), or (size, None, None, hashes, counts)."""
+        hashed, codes, opened, was_open = None, None, None, None
+        for size in range(1, self.high + 1):
+            n = len(words) - size + 1
+            if n <= 0:
                 return
-            continue
-        if size < low and not incremental:
-            continue
-        found, m = words.classes(places, size, codes if incremental else None)
-        if incremental:
-            codes = np.zeros(n, np.int64)
-            codes[places] = found
-        if size >= low:
-            first = np.zeros(m, np.int64)
-            first[found[::-1]] = places[::-1]
-            lang = pa.array(words.names).take(pa.array(words.of[first]))
-            yield size, lang, words.phrases(first, size), np.bincount(found, minlength=m)
-
-
-def count_phrases(
-    docs: DataFrame, low: int, high: int, now: np.ndarray | None = None, trusted: int = 99, old: np.ndarray | None = None, leap: bool = False
-) -> DataFrame:
-    """(lang, size, phrase, n) over rows (lang, bytes), see counted_in(); from low 1 on also a row
-    of size 0 per language with the number of its words. Tasks add up first, so that the rows
-    of a frequent phrase are as many as there are portions of text, not as its occurrences."""
+            fits = words.within(size)
+            seen = fits if self.old is not None else np.zeros(n, bool)
+            if opened is not None:
+                fits = fits & opened[:n] & opened[1 : n + 1]
+                seen = seen & was_open[:n] & was_open[1 : n + 1]
+            if self.now is not None:
+                hashed = words.hashes(size, hashed)
+            inside = fits if self.now is None or size > self.trusted else fits & member(self.now, hashed)
+            was_open = seen & member(self.old, hashed) if self.old is not None else seen
+            fresh = fits & ~seen
+            exact, border = inside & ~was_open, fresh & ~inside
+            opened = inside
+            if self.leap:
+                exact, border, opened = exact | border, np.zeros(n, bool), inside | fresh
+            places = np.flatnonzero(exact)
+            if len(places) and (self.old is None or size >= self.low):
+                found, m = words.classes(places, size, codes if self.old is None else None)
+                if self.old is None:
+                    codes = np.zeros(n, np.int64)
+                    codes[places] = found
+                if size >= self.low:
+                    first = np.zeros(m, np.int64)
+                    first[found[::-1]] = places[::-1]
+                    lang = pa.array(words.names).take(pa.array(words.of[first]))
+                    yield size, lang, words.phrases(first, size), None, np.bincount(found, minlength=m)
+            if size >= self.low and border.any():
+                found = pa.array(hashed[border].view(np.int64)).dictionary_encode()
+                yield size, None, None, found.dictionary.to_numpy(), np.bincount(found.indices.to_numpy())
+
+
+def count_phrases(docs: DataFrame, what: Pass) -> DataFrame:
+    """(lang, size, phrase, hash, n) over rows (lang, bytes): see Pass; phrase is null for the border
+    and hash zero for the rest. A first pass from words on also has a row of size 0 per language
+    with the number of its words. Tasks add up first, so that the rows of a frequent phrase are
+    as many as there are portions of text, not as its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, langs, size = [], [], 0
@@ -185,16 +193,12 @@ def count_phrases(
             numbers = np.array([names.index(x) for x in langs], np.int64)
             for part in portions(held):
                 words = Words([t for _, t in part], numbers[[row for row, _ in part]], names)
-                if low == 1 and len(words):
-                    totals = np.bincount(words.of, minlength=len(names))
-                    yield batch(
-                        lang=names, size=pa.array([0] * len(names), pa.int32()), phrase=[b""] * len(names), n=totals.astype(np.int64)
-                    )
-                for k, lang, phrase, n in counted_in(words, low, high, now, trusted, old, leap):
+                if what.low == 1 and what.old is None and len(words):
+                    totals = np.bincount(words.of, minlength=len(names)).astype(np.int64)
+                    yield _rows(0, pa.array(names), pa.array([b""] * len(names), pa.binary()), None, totals)
+                for k, lang, phrase, hashes, n in what.counts(words):
                     for at in range(0, len(n), 50_000):
-                        span = slice(at, at + 50_000)
-                        rows = n[span].astype(np.int64)
-                        yield batch(lang=lang[span], size=np.full(len(rows), k, np.int32), phrase=phrase[span], n=rows)
+                        yield _rows(k, *(x if x is None else x[at : at + 50_000] for x in (lang, phrase, hashes, n)))
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -207,8 +211,17 @@ def count_phrases(
         if held:
             yield from flush()
 
-    rows = docs.mapInArrow(run, "lang string, size int, phrase binary, n long")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(run, "lang string, size int, phrase binary, hash long, n long")
+    return rows.groupBy("lang", "size", "phrase", "hash").agg(F.sum("n").alias("n"))
+
+
+def _rows(size: int, lang, phrase, hashes, n: np.ndarray) -> pa.RecordBatch:
+    k = len(n)
+    return batch(
+        lang=pa.nulls(k, pa.string()) if lang is None else lang, size=np.full(k, size, np.int32),
+        phrase=pa.nulls(k, pa.binary()) if phrase is None else phrase,
+        hash=np.zeros(k, np.int64) if hashes is None else hashes, n=n.astype(np.int64),
+    )
 
 
 def filter_of(phrases: DataFrame, bits: int) -> np.ndarray:
@@ -223,12 +236,30 @@ def filter_of(phrases: DataFrame, bits: int) -> np.ndarray:
             for size in range(1, int(sizes.max(initial=0)) + 1):
                 hashed = words.hashes(size, hashed)
                 found.append(hashed[starts[sizes == size]])
-            at = np.unique(np.concatenate([p for h in found for p in probes(h, bits)])) if found else np.zeros(0, np.uint64)
-            slots, first = np.unique(at >> np.uint64(6), return_index=True)
-            values = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
-            yield batch(slot=slots.astype(np.int64), value=values.view(np.int64))
+            yield _slots(np.concatenate(found) if found else np.zeros(0, np.uint64), bits)
+
+    return _bitmap(phrases.select("lang", "size", "phrase").mapInArrow(run, "slot long, value long"), bits)
+
+
+def filter_of_hashes(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The same of a column of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _slots(b.column(0).to_numpy().view(np.uint64), bits)
+
+    return _bitmap(hashes.mapInArrow(run, "slot long, value long"), bits)
+
+
+def _slots(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The filter's words that the hashes set bits in."""
+    at = np.unique(np.concatenate([*probes(hashes, bits)]))
+    slots, first = np.unique(at >> np.uint64(6), return_index=True)
+    values = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+    return batch(slot=slots.astype(np.int64), value=values.view(np.int64))
+
 
-    parts = phrases.select("lang", "size", "phrase").mapInArrow(run, "slot long, value long")
+def _bitmap(parts: DataFrame, bits: int) -> np.ndarray:
     table = parts.groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.uint64)
     out[table.column("slot").to_numpy()] = table.column("value").to_numpy().view(np.uint64)
@@ -242,11 +273,11 @@ def propose(docs: DataFrame, least: int, longest: int, share: float) -> DataFram
     sample = store(docs.where(F.pmod(F.xxhash64("salt", "bytes"), F.lit(scale)) < int(share * scale)), "phrase-sample")
     expected = least * share
     bound = F.col("n") >= max(2, math.floor(expected - 1.5 * math.sqrt(expected)))
-    short = store(count_phrases(sample.select("lang", "bytes"), 1, min(2, longest)).where(bound & (F.col("size") > 0)), "short-proposals")
+    short = store(count_phrases(sample.select("lang", "bytes"), Pass(1, min(2, longest))).where(bound & (F.col("size") > 0)), "short-proposals")
     if longest <= 2:
         return short
     bitmap = filter_of(short, filter_bits(short.count()))
-    long = count_phrases(sample.select("lang", "bytes"), 3, longest, bitmap, trusted=2).where(bound)
+    long = count_phrases(sample.select("lang", "bytes"), Pass(3, longest, bitmap, trusted=2)).where(bound)
     return store(short.union(long).select("lang", "size", "phrase"), "proposals")
 
 
@@ -260,8 +291,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
     occurrences, and a row of size 0 per language with its number of words.
 
     `share` is the share of documents that propose. When border failures are few beside the
-    proposals (`leap_share`), one pass counts all their extensions; else each pass goes one
-    word further. Neither changes the result. A null text counts as empty, a null language as
+    proposals (`leap_share`), one pass counts all that they open; else each pass has a border
+    of its own. Neither changes the result, nor do hashes that meet. A null text counts as empty, a null language as
     `und`; repeated rows count each time. No documents give no rows. Other columns are ignored.
     """
     salt = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit("")
@@ -270,18 +301,17 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, share:
     known, rows = proposed.count(), rows.select("lang", "bytes")
     now = filter_of(proposed, filter_bits(known))
     often = F.col("n") >= least
-    found = store(count_phrases(rows, 1, longest, now).where(often | (F.col("size") == 0)), "frequent-phrases")
-    extensible = F.col("size").between(1, longest - 1)
-    failures = store(found.where(extensible).join(proposed, ["lang", "size", "phrase"], "left_anti"), "border-failures")
+    whole = count_phrases(rows, Pass(1, longest, now)).where(often | (F.col("size") == 0))
+    counted = store(whole, "counted-phrases")
+    found = counted.where("phrase IS NOT NULL")
+    failures = counted.where("phrase IS NULL").select("hash")
     while n := failures.count():
-        old, now = now, now | filter_of(failures, len(now) * 64)
+        old, now = now, now | filter_of_hashes(failures, len(now) * 64)
         leap = n <= leap_share * known
-        more = store(count_phrases(rows, 2, longest, now, old=old, leap=leap).where(often), "opened-phrases")
-        found, known = found.union(more), known + n
-        if leap:  # every phrase that a failure opens is open itself, so all its extensions are counted
-            break
-        failures = more.where(extensible)
-    return found.withColumn("phrase", F.col("phrase").cast("string"))
+        counted = store(count_phrases(rows, Pass(1, longest, now, old=old, leap=leap)).where(often), "opened-phrases")
+        found, known = found.union(counted.where("phrase IS NOT NULL")), known + n
+        failures = counted.where("phrase IS NULL").select("hash")  # none after a leap, which leaves no border
+    return found.select("lang", "size", F.col("phrase").cast("string").alias("phrase"), "n")
 
 
 def _words(phrase: Column, first: Column, n: Column) -> Column:
