@@ -214,6 +214,7 @@ CHECKS = {
     ),
     "check_column_order": _column_order(sorted(suite.CATEGORY_COLUMNS)),
     "check_suite": _SUITE,
+    "check_timed": f"SELECT *, true AS timed FROM ({_SUITE}) r",
     "check_status_summary": f"""
         SELECT status, count(*) AS checks, {num("100.0 * count(*) / sum(count(*)) OVER ()", "percentage")} FROM ({_SUITE}) r GROUP BY status""",
     "check_result_totals": f"""
