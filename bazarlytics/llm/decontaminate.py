@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from bazarlytics.llm.common import batch, numbered, slices, store, utf8
 
 STEP = 16  # words of a block; a window is two blocks
+RARE = 4  # rare words of an item that must stand around a window before it is compared
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -140,9 +141,62 @@ class Index:
     passages: np.ndarray
     owner: np.ndarray
     items: list[Item]
+    rare: Rare
 
 
-def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int) -> Index:
+@dataclass
+class Rare:
+    """For every word number the items that have it among their rarest words, and what each
+    item asks of a run of words: at least `least` of those words within `reach` blocks."""
+
+    start: np.ndarray
+    items: np.ndarray
+    least: np.ndarray
+    reach: np.ndarray
+
+    def near(self, flat: np.ndarray, block: np.ndarray, total: int) -> np.ndarray:
+        """Windows by items: whether so many rare words stand in the run that is compared.
+
+        The run may reach over the end of a document, which only lets more windows through.
+        """
+        times = np.diff(self.start)
+        at = np.flatnonzero(times[flat])
+        each = times[flat[at]]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - self.start[flat[at]], each)
+        n = len(self.least)
+        counts = np.bincount(np.repeat(block[at], each) * n + self.items[place], minlength=total * n)
+        upto = np.zeros((total + 1, n), np.int32)
+        np.cumsum(counts.reshape(total, n), axis=0, out=upto[1:])
+        out = np.zeros((total, n), bool)
+        where = np.arange(total)
+        for reach in np.unique(self.reach):
+            mine = np.flatnonzero(self.reach == reach)
+            part = upto[:, mine]
+            high, low = np.minimum(where + 2 + reach, total), np.maximum(where - reach, 0)
+            out[:, mine] = part[high] - part[low] >= self.least[mine]
+        return out
+
+
+def rare_words(items: list[Item], vocabulary: dict[bytes, int], frequency: np.ndarray, share: float) -> Rare:
+    """A common subsequence of at least that share of an item leaves out at most n - least of
+    its n words, so of any n - least + RARE words it holds RARE. The rarest are taken."""
+    owners: list[list[int]] = [[] for _ in range(len(vocabulary) + 1)]
+    least = []
+    for k, item in enumerate(items):
+        numbers = np.array([vocabulary[w] for w in item.words])
+        n = len(numbers)
+        kept = max(0, int(np.ceil(share * n - 1e-9)))
+        least.append(min(RARE, kept))
+        rarest = np.argsort(frequency[numbers - 1], kind="stable")[: n - kept + least[-1]]
+        for number in set(numbers[rarest].tolist()):
+            owners[number].append(k)
+    start = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
+    flat = np.array([k for o in owners for k in o], np.int64)
+    reach = np.array([-(-len(item.words) // STEP) for item in items], np.int64)
+    return Rare(start, flat, np.array(least), reach)
+
+
+def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int, share: float = 0.6) -> Index:
     own = {w for item in items for w in item.words}
     told = {w for item in items for w in item.answer} - own  # numbered, but without a latent vector
     vocabulary = {w: i for i, w in enumerate([*sorted(own), *sorted(told)], 1)}
@@ -173,7 +227,8 @@ def build(docs: DataFrame, benchmark: DataFrame, items: list[Item], rank: int) -
             vector = latent[[vocabulary[w] for w in part]].sum(0)
             vectors.append(vector / max(np.linalg.norm(vector), 1e-9))
             owner.append(k)
-    return Index(vocabulary, latent, np.array(vectors, np.float32), np.array(owner), items)
+    rare = rare_words(items, vocabulary, frequency, share)
+    return Index(vocabulary, latent, np.array(vectors, np.float32), np.array(owner), items, rare)
 
 
 def search(index: Index, texts: list[bytes], cosine: float, copied: float, paraphrased: float) -> list[tuple]:
@@ -190,25 +245,30 @@ def search(index: Index, texts: list[bytes], cosine: float, copied: float, parap
     flat = np.concatenate(docs)
     offsets = np.cumsum(lengths) - lengths
     block = np.repeat(first[:-1], lengths) + (np.arange(len(flat)) - np.repeat(offsets, lengths)) // STEP
-    known = np.flatnonzero(flat)
+    follows = np.ones(total, bool)
+    follows[first[1:][blocks > 0] - 1] = False  # a document's last block stands alone
+    near = index.rare.near(flat, block, total)
+    wanted = near.any(1)
+    summed = wanted.copy()
+    summed[1:] |= wanted[:-1] & follows[:-1]
+    known = np.flatnonzero((flat > 0) & summed[block])
     sums = np.zeros((total, index.latent.shape[1]), np.float32)
     if len(known):
         owners = block[known]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(owners)) + 1])
         sums[owners[starts]] = np.add.reduceat(index.latent[flat[known]], starts, axis=0)
-    follows = np.ones(total, bool)
-    follows[first[1:][blocks > 0] - 1] = False  # a document's last block stands alone
-    window = sums.copy()
-    has = np.flatnonzero(follows)
-    window[has] += sums[has + 1]
-    inside = np.sqrt((window * window).sum(1))  # the part of a window that lies in the space
-    likely = np.flatnonzero(inside > 0)
+    likely = np.flatnonzero(wanted)
     masks: dict[int, dict[int, int]] = {}
     best: dict[tuple[int, int], tuple] = {}
     for at in range(0, len(likely), 2048):
         rows = likely[at : at + 2048]
-        cos = (window[rows] @ index.passages.T) / np.maximum(inside[rows, None], 1e-9)
-        for p, q in zip(*(x.tolist() for x in np.nonzero(cos >= cosine))):
+        window = sums[rows]
+        has = np.flatnonzero(follows[rows])
+        window[has] += sums[rows[has] + 1]
+        inside = np.sqrt((window * window).sum(1))  # the part of a window that lies in the space
+        cos = (window @ index.passages.T) / np.maximum(inside[:, None], 1e-9)
+        over = (cos >= cosine) & (inside[:, None] > 0) & near[np.ix_(rows, index.owner)]
+        for p, q in zip(*(x.tolist() for x in np.nonzero(over))):
             item, where = int(index.owner[q]), int(rows[p])
             doc = int(np.searchsorted(first, where, "right")) - 1
             told = index.items[item]
@@ -238,8 +298,9 @@ def find(
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words) and answer_found of every find.
 
-    Every window with a word of the benchmark is searched, whatever stands around it and however
-    many documents there are, and a passage is a candidate from the cosine on. An item counts as copied or
+    A window is compared where the run around it holds enough of an item's rarest words for the
+    shares below to be possible, which loses no find at any number of documents; a passage is
+    a candidate from the cosine on. An item counts as copied or
     paraphrased from those shares of its words in order; the latter needs its answer too.
     Items go through in blocks of `item_block`, each against all documents, which bounds what
     the driver and the tasks hold; the rank nearly holds a block's passages whole. Texts are searched whole. Null and empty texts hold
@@ -257,7 +318,7 @@ def find(
         items = items_of([tuple(r) for r in part.collect()])  # at most item_block rows
         if not items:
             continue
-        index = build(docs, part, items, rank)
+        index = build(docs, part, items, rank, min(copied, paraphrased))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -126,3 +126,33 @@ def test_paraphrases_with_an_answer_apart(spark):
     docs = spark.createDataFrame([(1, f"{changed} forty two"), (2, f"{changed} forty one")], "doc_id long, text string")
     got = D.find(docs, bench, answer_col="reply").collect()
     assert [(r.doc_id, r.answer_found) for r in got] == [(1, True)] and got[0].lcs < 0.8
+
+
+def test_rare_words_lose_no_find(monkeypatch):
+    """Random texts of few words with pieces of items: the same finds as with every window compared."""
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % i for i in range(60)]
+    items = [D.Item(k, [words[j] for j in rng.integers(0, 60, n)], []) for k, n in enumerate([1, 3, 15, 16, 17, 40, 59, 100])]
+    for item in items:
+        item.answer = item.words[-5:]
+    vocabulary = {w: i for i, w in enumerate(words, 1)}
+    frequency = rng.integers(0, 50, 60)
+    latent = np.concatenate([np.zeros((1, 8)), rng.normal(size=(60, 8))]).astype(np.float32)
+    vectors, owner = [], []
+    for k, item in enumerate(items):
+        for part in D.passages_of(item.words):
+            vectors.append(latent[[vocabulary[w] for w in part]].sum(0))
+            owner.append(k)
+    vectors = np.array([v / np.linalg.norm(v) for v in vectors], np.float32)
+    texts = [b"", b"unknown"]
+    for _ in range(60):
+        text = [words[j] if j < 60 else b"other" for j in rng.integers(0, 75, rng.integers(0, 120))]
+        item = items[rng.integers(len(items))].words
+        text[5:5] = [w for w in item if rng.random() < 0.8]
+        texts.append(b" ".join(text))
+    index = D.Index(vocabulary, latent, vectors, np.array(owner), items, D.rare_words(items, vocabulary, frequency, 0.6))
+    got = D.search(index, texts, 0.3, 0.8, 0.6)
+    monkeypatch.setattr(D.Rare, "near", lambda self, flat, block, total: np.ones((total, len(items)), bool))
+    every = D.search(index, texts, 0.3, 0.8, 0.6)
+    strip = lambda rows: [(d, i, share, there, round(c, 4)) for d, i, c, share, there in rows]
+    assert strip(got) == strip(every) and len(got) > 20
