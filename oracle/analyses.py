@@ -503,9 +503,30 @@ EVERYDAY = {
         FROM fct_order_items JOIN dim_date ON order_date_key = date_key GROUP BY date_day""",
 }
 
+_ACTIVE = "SELECT DISTINCT customer_id, order_month FROM fct_orders WHERE is_delivered"
+
+ACTIVITY = {
+    "activity_cohorts": RETENTION["q19_cohort_activity"],
+    "activity_churn": RETENTION["q20_monthly_churn"],
+    "activity_active_months": f"""
+        SELECT {whole("n", "active_months")}, count(*) AS customers FROM (SELECT customer_id, count(*) AS n FROM ({_ACTIVE}) a GROUP BY 1) c GROUP BY n""",
+    "activity_kept_between": f"""
+        SELECT {day("a.order_month", "month")}, count(*) AS customers, count(b.customer_id) AS came_back, {num("100.0 * count(b.customer_id) / count(*)", "came_back_pct")}
+        FROM ({_ACTIVE}) a LEFT JOIN ({_ACTIVE}) b ON a.customer_id = b.customer_id AND b.order_month = a.order_month + INTERVAL 1 MONTH GROUP BY a.order_month""",
+    "reconcile_older_orders": f"""
+        SELECT {day("order_month")}, order_id, if(late, 0, count(*)) AS left_rows, count(*) AS right_rows, if(late, 'only_right', 'changed') AS change
+        FROM (SELECT *, order_month = DATE '1997-05-01' AS late FROM fct_orders) f
+        WHERE late OR order_month = DATE '1996-03-01' AND order_id IN (SELECT order_id FROM stg_payments) GROUP BY order_month, order_id, late""",
+    "reconcile_dashboards": f"""
+        SELECT {day("date_trunc('month', a.date_day)", "month")}, {day("a.date_day", "date_day")}, 1 AS left_rows, 1 AS right_rows, 'changed' AS change
+        FROM mart_executive_dashboard a JOIN mart_executive_dashboard_fanout_safe b ON a.date_day = b.date_day
+        WHERE a.total_orders IS DISTINCT FROM b.total_orders OR CAST(a.total_revenue AS DECIMAL(18, 2)) IS DISTINCT FROM CAST(b.total_revenue AS DECIMAL(18, 2))""",
+}
+
 STATEMENTS = {
     name: statement(sql)
     for group in (
+        ACTIVITY,
         EXECUTIVE, REVENUE, RETENTION, RFM, SATISFACTION, DELIVERY, GEOGRAPHY, TIMING, RISK, PRODUCT, SELLER, EVERYDAY,
     )
     for name, sql in group.items()
