@@ -105,16 +105,18 @@ def place(rows: DataFrame, length: str = "length", capacity: int = 2048, group:
 
     Within a sequence the offsets are gapless from 0. Rows may be equal to each other. Rows
     that fill a sequence get one of their own. No rows give no rows. `loose` is the share of
-    the capacity below which a sequence is taken apart for the next round.
+    the capacity below which a sequence is taken apart for the next round. Columns that are
+    called sequence_id or offset already are replaced.
     """
+    rows = rows.drop("sequence_id", "offset")
     if all(isinstance(f.dataType, NumericType) for f in rows.schema):
         return _placed(rows, length, capacity, group, loose)
     # a task packs the lengths of its rows; what else they hold does not pass through it
     row, names = fresh("row", rows.columns), rows.columns
     kept = store(rows.withColumn(row, F.monotonically_increasing_id()), "pieces")
-    found = _placed(kept.select(row, F.col(length).cast("long").alias("size")), "size", capacity, group, loose)
-    joined = kept.join(found.select(F.col(row).alias("_packed"), "sequence_id", "offset"), F.col(row) == F.col("_packed"))
-    return joined.select(*names, "sequence_id", "offset")
+    found = _placed(kept.select(row, F.col(f"`{length}`").cast("long").alias("size")), "size", capacity, group, loose)
+    joined = kept.join(found.select(row, "sequence_id", "offset"), row)
+    return joined.select(*(F.col(f"`{c}`") for c in names), "sequence_id", "offset")
 
 
 def _placed(rows: DataFrame, length: str, capacity: int, group: int, loose: float) -> DataFrame:

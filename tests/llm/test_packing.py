@@ -79,3 +79,15 @@ def test_sequences_hold_the_ids(spark, documents):
     made = packing.sequences(packed)
     total = parts.agg(F.sum("length")).first()[0]
     assert made.agg(F.sum(F.octet_length("ids"))).first()[0] == 4 * total
+
+
+def test_place_beside_clashing_names(spark):
+    rows = spark.createDataFrame(
+        [("a", 7, 9, 9, 5, "x"), (None, 8, 9, 9, None, "y")], "`_packed` string, length long, sequence_id long, offset long, size int, `meta.src` string"
+    )
+    got = packing.place(rows)
+    assert got.columns == ["_packed", "length", "size", "meta.src", "sequence_id", "offset"]
+    assert sorted((r.length, r["size"], r["meta.src"]) for r in got.collect()) == [(7, 5, "x"), (8, None, "y")]
+    assert {(r.sequence_id, r.offset) for r in got.collect()} in ({(0, 0), (0, 7)}, {(0, 0), (0, 8)})
+    numbers = packing.place(rows.select("length", "sequence_id", "offset", "size")).collect()
+    assert check_sequences([(r.sequence_id, r.offset, r.length) for r in numbers]) == 1
