@@ -38,15 +38,18 @@ class Warehouse:
         as_of: str | None = None,
         dedup_reviews: bool = False,
         checks: Sequence[Check] = (),
+        lookup_by: Mapping[str, str] | None = None,
     ):
         """Of the checks, the row and total rules of every model are counted while it is written;
-        ``observed`` has their failures by name."""
+        ``observed`` has their failures by name. ``lookup_by`` names, per model, the column whose
+        single values are searched; the model's files are then laid out for it."""
         self.spark = spark
         self.raw = raw
         self.path = path or scratch_path(spark, "warehouse")
         self.as_of = as_of
         self.dedup_reviews = dedup_reviews
         self.checks = checks
+        self.lookup_by = lookup_by or {}
         self.observed: dict[str, int] = {}
         self.seconds: dict[str, float] = {}
         self._stored: dict[str, DataFrame] = {}
@@ -77,7 +80,8 @@ class Warehouse:
         metrics = [F.expr(count).alias(check) for check, count in counts.items()]
         observation = Observation(f"checks_{name}") if metrics else None
         table = write_table(
-            self.plan(name), f"{self.path}/{name}", PARTITION_BY.get(name), observation, metrics
+            self.plan(name), f"{self.path}/{name}", PARTITION_BY.get(name), observation, metrics,
+            self.lookup_by.get(name),
         )
         if observation:
             self.observed.update({k: int(v) for k, v in observation.get.items() if v is not None})

@@ -1,9 +1,13 @@
 """Tables written for searches by a single value."""
 
+import os
+
 import pytest
 
 from pyspark.sql import functions as F
 
+from bazarlytics.plans.warehouse import retail_warehouse
+from bazarlytics.quality.checks import not_null
 from bazarlytics.sources.files import write_table
 
 ROWS = 60_000
@@ -53,3 +57,13 @@ def test_nulls_and_no_rows(spark, frame, tmp_path):
     table = write_table(frame(rows, "order_id string, n int"), str(tmp_path / "n"), lookup_by="order_id")
     assert sorted(map(tuple, table.collect()), key=str) == sorted(rows, key=str)
     assert write_table(frame([], "order_id string, n int"), str(tmp_path / "e"), lookup_by="order_id").count() == 0
+
+
+def test_a_model_with_checks_is_the_same_rows(spark, tmp_path):
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    rules = [not_null("fct_orders", "order_id")]
+    shop = retail_warehouse(spark, folder, path=str(tmp_path / "w"), checks=rules, lookup_by={"fct_orders": "order_id"})
+    table = shop["fct_orders"]
+    plan = shop.plan("fct_orders").select(table.columns)  # a partition column comes last
+    assert table.exceptAll(plan).count() == plan.exceptAll(table).count() == 0
+    assert shop.observed == {rules[0].name: 0}
