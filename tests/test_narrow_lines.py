@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bazarlytics.operators.ordering import number_rows_within
 from bazarlytics.plans import dimensions, facts, intermediate
+from bazarlytics.quality import business
 from bazarlytics.sources import retail
 
 
@@ -85,3 +86,21 @@ def test_lines_in_context_are_the_same_rows(spark):
     narrow = facts.fct_order_items(intermediate.lines_in_context(*tables, context))
     assert [(f.name, f.dataType) for f in narrow.schema] == [(f.name, f.dataType) for f in plain.schema]
     assert rows(narrow) == rows(plain)
+
+
+def test_orders_meet_on_one_exchange_by_order(spark):
+    payments = spark.sql(
+        "select concat('o', id % 9) as order_id, if(id % 2 = 0, 'voucher', 'boleto') as payment_type, "
+        "cast(id as decimal(10,2)) as payment_value, cast(id % 3 as int) as payment_installments from range(60)"
+    )
+    paid = intermediate.int_order_payments_aggregated(payments)
+    assert plan_of(paid).count("Exchange") == 1
+    assert all(r.payment_method_count in (6, 7) and r.unique_payment_types == 2 for r in paid.collect())
+
+
+def test_reconciling_moves_rows_not_buffers(spark):
+    facts_ = spark.sql("select concat('s', id % 3) as seller_id, concat('o', id % 7) as order_id, cast(id as decimal(10,2)) as item_price from range(42)")
+    told = spark.sql("select concat('s', id) as seller_id, 7L as total_orders, if(id = 1, 13L, 14L) as total_items_sold, cast(273 + 14 * id as decimal(20,2)) as total_revenue from range(3)")
+    found = business._reconcile(facts_, told, "seller_id")
+    assert "REPARTITION_BY_COL" in plan_of(found)
+    assert [(r.seller_id, r.issue_type) for r in found.collect()] == [("s1", "Items mismatch")]
