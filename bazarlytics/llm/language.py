@@ -41,9 +41,11 @@ SCRIPTS = {
     "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)),
     "han": ((0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F)),
 }
-# Python counts all numerals to the word characters; a word has letters only.
+# A word has letters only, but Python counts all numerals to the word characters. A pattern that names
+# them would try each of them on every letter, so it only cuts the few runs that hold one.
 _NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
 _LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _ASCII = re.compile(r"[a-z]+\Z")
 _RANGES = sorted((low, high, 1 << i) for i, ranges in enumerate(SCRIPTS.values()) for low, high in ranges)
 _OTHER = 1 << len(SCRIPTS)
@@ -64,7 +66,19 @@ def scripts(word: str) -> int:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(unicodedata.normalize("NFC", text).lower())
+    runs = _RUNS.findall(unicodedata.normalize("NFC", text).lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in ([run] if run.isalpha() else _LETTERS.findall(run))]
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of a text begin and end."""
+    places: list[tuple[int, int]] = []
+    for run in _RUNS.finditer(text):
+        words = [run] if run[0].isalpha() else _LETTERS.finditer(text, *run.span())
+        places += (word.span() for word in words)
+    return places
 
 
 def grams(word: str) -> list[str]:
@@ -276,15 +290,15 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
         return [names[k] if s else UNKNOWN for k, s in zip(best.tolist(), some)], (most / total).tolist()
 
     def spans_of(text: str, labeller: Labeller) -> list[dict]:
-        words = list(_LETTERS.finditer(text))
-        path, known = labeller.label([[m[0].lower() for m in words]])
+        places = word_places(text)
+        path, known = labeller.label([[text[start:end].lower() for start, end in places]])
         found: list[dict] = []
-        for word, k, sure in zip(words, path.tolist(), known.tolist()):
+        for (start, end), k, sure in zip(places, path.tolist(), known.tolist()):
             lang = names[k] if sure else UNKNOWN
             if found and found[-1]["lang"] == lang:
-                found[-1]["end"] = word.end()
+                found[-1]["end"] = end
             else:
-                found.append({"start": word.start(), "end": word.end(), "lang": lang})
+                found.append({"start": start, "end": end, "lang": lang})
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

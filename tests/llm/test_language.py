@@ -1,4 +1,5 @@
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -71,6 +72,20 @@ def test_scripts_decide(spark):
     assert got[0][0].argmax() == 2 and got[0][0][0] == language.OUT and got[1].tolist() == [True, True, False]
 
 
+def test_words_are_cut_at_numerals_at_the_speed_of_letters():
+    text = "Abc½déf x²y Ⅳ 一二 \U00010107ß \U0001d7d8z 12ab_c ก๑ข"
+    whole = language._LETTERS.findall(text.lower())
+    assert language.words_of(text) == whole and "abc" in whole and "一二" in whole
+    assert [text[a:b].lower() for a, b in language.word_places(text)] == whole
+    assert language.word_places("") == language.words_of("") == []
+    long = "the garden and the house " * 20_000
+    begun = time.process_time()
+    language._RUNS.findall(long)
+    plain, begun = time.process_time() - begun, time.process_time()
+    assert len(language.words_of(long)) == len(language.word_places(long)) == 100_000
+    assert time.process_time() - begun < 15 * plain + 0.1
+
+
 def test_odd_rows(spark, table):
     rows = [(1, None, "en"), (2, "", "en"), (3, "12 34 -", None), (4, "½ ² ¼ Ⅳ", None), (7, "漢字 сад", None), (5, "the " * 50_000, "en"), (6, "und der " * 9, "de"), (6, "und der " * 9, "de"), (None, "the", None)]
     df = spark.createDataFrame([(*r, "x", 1.0) for r in rows * 1], "doc_id long, text string, lang string, source string, score double")
