@@ -1,9 +1,10 @@
 """Token ids of whole texts with a tokenizers file, quick where words repeat.
 
 Both supported kinds of tokenizer cut a text into words by a pattern and then encode each
-word by itself. A word takes at most one space before it, so where no white space follows a
-space, the chunks between spaces can be encoded by themselves. A chunk's ids are looked up
-once and kept, as are its words'; what is kept is bounded in number. A text with characters beyond Latin letters and common punctuation, for which the
+word by itself. Under the pattern of lower-cased words no word holds white space, so a text is cut
+straight into its words. Under the other one a word takes at most one space before it, so where no
+white space follows a space, the chunks between spaces can be encoded by themselves. The ids of a
+word or a chunk are looked up once and kept; what is kept is bounded in number. A text with characters beyond Latin letters and common punctuation, for which the
 pattern here could cut otherwise, or with wider spaces, is encoded by the library as a whole, as is every text
 under a tokenizer of another kind.
 """
@@ -30,7 +31,7 @@ _ODD = re.compile("[^\\t-\\r\\x20-\\x7e\\xa0-ɏ‐-‧€]")
 
 # The word patterns of the two tokenizer kinds, over those sets.
 _BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-_LOWER_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"
+_LOWER_WORDS = rf"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_S}{_L}{_N}]+"  # most words are letters: tried first
 _LOWER_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # A byte as the character that stands for it in the vocabularies: visible Latin-1 characters
@@ -70,10 +71,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known_words, self.first = _Kept(self._word, kept), _Kept(self._chunk, kept)
-        self.rest = _Kept(lambda chunk: self._chunk(" " + chunk), kept)
+        self.tokenize = self.tokenizer.model.tokenize
         spec = json.loads(self.tokenizer.to_str())
         self.words, self.lower = self._pattern(spec)
+        # without chunks beside them there is room for more words
+        self.known_words, self.first = _Kept(self._word, 3 * kept if self.lower else kept), _Kept(self._chunk, kept)
+        self.rest = _Kept(lambda chunk: self._chunk(" " + chunk), kept)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
 
     @staticmethod
@@ -94,14 +97,14 @@ class Encoder:
         shown = word.replace(" ", _SPACE)
         if not (word.isascii() and word.isprintable()):
             shown = word.encode().decode("latin-1").translate(_BYTES)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)])
+        ids = array("I", [t.id for t in self.tokenize(shown)])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk: those of its words one after another."""
-        if chunk.isalpha() and chunk.isascii():  # one word under either pattern
+        if chunk.isalpha() and chunk.isascii():  # one word
             return self.known_words[chunk]
         return b"".join(map(self.known_words.__getitem__, self.words.findall(chunk)))
 
@@ -115,7 +118,8 @@ class Encoder:
         return out
 
     def _cut(self, text: str) -> list[str] | None:
-        """The chunks of a text that can be cut at its spaces."""
+        """The words of a text to be lower-cased, otherwise the chunks between its spaces; none
+        where the library has to cut it."""
         if self.words is None or _ODD.search(text) or any(t in text for t in self.added):
             return None
         if not self.lower:
@@ -123,16 +127,18 @@ class Encoder:
         lower = text.lower()
         if any(t in lower for t in self.added) or not unicodedata.is_normalized("NFC", text):
             return None
-        return lower.split(" ")
+        return self.words.findall(lower)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
-        first, rest = self.first, self.rest.__getitem__
+        first, rest, word = self.first, self.rest.__getitem__, self.known_words.__getitem__
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            if chunks is None
-            else first[chunks[0]] + b"".join(map(rest, chunks[1:]))
-            for t, chunks in zip(texts, cut)
+            if parts is None
+            else b"".join(map(word, parts))
+            if self.lower
+            else first[parts[0]] + b"".join(map(rest, parts[1:]))
+            for t, parts in zip(texts, cut)
         ]
 
 

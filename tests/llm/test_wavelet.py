@@ -93,3 +93,11 @@ def test_small_shards_and_odd_rows(spark, table, tmp_path):
     got = sorted((r.start, r.doc_id, len(r.ids) // 4) for r in wavelet.read_shards(files).collect())
     assert got == [(0, None, 2), (2, 1, 1), (3, 2, 3), (6, 2, 3), (9, 3, 1), (10, 7, 30_001)]
     assert QUERIES["op2_wavelet_token_files"](spark, table(documents=df.limit(0))).collect() == []
+
+
+def test_lower_cased_words_need_no_chunks():
+    own = Encoder(default_path("word_bpe_49k.json"), kept=2)
+    texts = [f"Word{c} word{c}\n\tit's 'LL 'q {c}{c}1é" for c in ".,;:!?)"] + ["", "  ", "a\x85b  'twas"]
+    library = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [x.ids for x in library]
+    assert not own.first and not own.rest and len(own.known_words) == 6  # a word is kept once, whatever stands beside it
