@@ -144,12 +144,16 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
-    numbered = number_rows_within(lines, ["l_orderkey"], LINE_ORDER, "order_item_id")
-    bought = _base_orders(spark, folder).select("k", "bought")
-    k, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    return numbered.join(bought, k == F.col("k"), "left").select(
-        _id("o", "l_orderkey").alias("order_id"),
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        _id("o", "l_orderkey").alias("order_id"), *LINE_ORDER
+    )
+    # by the order as the tables name it, so that what follows needs no other exchange
+    numbered = number_rows_within(lines, ["order_id"], LINE_ORDER, "order_item_id")
+    bought = _base_orders(spark, folder).select(_id("o", "k").alias("order_id"), "bought")
+    k = F.expr("substring(order_id, 2)").cast("long")
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    return numbered.join(bought, "order_id", "left").select(
+        "order_id",
         "order_item_id",
         _id("p", "l_partkey").alias("product_id"),
         _id("s", "l_suppkey").alias("seller_id"),
