@@ -1,11 +1,14 @@
 """Tables in buckets of their key are not shuffled again, and give the rows they gave before."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from bazarlytics.operators.grouping import has_hot_key
 from bazarlytics.plans import dimensions, facts, intermediate, marts
 from bazarlytics.plans.warehouse import retail_warehouse
+from bazarlytics.quality import business
 from bazarlytics.sources import files
 from tests.test_narrow_lines import enriched_inputs, rows
 
@@ -27,7 +30,7 @@ def no_broadcast(spark):
 def moved(df):
     """The keys of the exchanges in a plan."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return [line.split("hashpartitioning(")[1].split(", ")[0].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    return [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)]
 
 
 def test_a_bucketed_table_is_summed_and_joined_in_place(spark, tmp_path, no_broadcast):
@@ -112,3 +115,14 @@ def test_orders_are_counted_once_per_product(frame):
     items = frame(lines, "product_id string, order_id string, price double, freight_value double")
     row = dimensions.dim_products(products, categories, items).first()
     assert (row.total_orders, row.total_items_sold, row.total_revenue) == (2, 4, 8.0)
+
+
+def test_a_day_s_sums_do_not_move_with_its_customers(shop, no_broadcast):
+    plan = shop.plan("mart_executive_dashboard_fanout_safe")._jdf.queryExecution().executedPlan().toString()
+    with_customer = [line for line in plan.splitlines() if "HashAggregate(keys=[date_key" in line and "customer_id" in line]
+    assert with_customer and not any("sum(" in line for line in with_customer)
+
+
+def test_reconciled_lines_stay_in_their_buckets(shop, no_broadcast):
+    found = business._reconcile(shop["fct_order_items"], shop["dim_sellers"], "seller_id")
+    assert set(moved(found)) == {"seller_id"}
